@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_encode
 from .decontaminate import find_leaks
+from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 
 from .substring_dedup import substring_dedup
@@ -35,6 +36,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.col("leak.start").alias("first_word"), "leak.n_words", "leak.n_equal")
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 
