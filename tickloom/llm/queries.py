@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_encode
 from .decontaminate import find_leaks
+from .embedding_dedup import embedding_components
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 
 from .substring_dedup import substring_dedup
+from .url_filter import DEFAULT_RULES, filter_urls, site_rule
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,23 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+SITE_RULES = [
+    site_rule("allow", "com", "/"),
+    site_rule("block", "example.com", "/en/"),
+    site_rule("allow", "www.example.com", "/en/"),
+    site_rule("block", "net", "/es/"),
+    site_rule("block", "net", "/fr/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [*SITE_RULES, *DEFAULT_RULES]).drop("url")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.col("leak.start").alias("first_word"), "leak.n_words", "leak.n_equal")
@@ -50,10 +69,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_url_filter": op7_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": """
+        WITH parsed AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+            FROM pages
+        ), rules(rule_host, rule_path, verdict) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), judged AS (
+            SELECT p.*, (
+                SELECT {'rule': rule_host || rule_path, 'verdict': verdict} FROM rules
+                WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+                ORDER BY length(rule_host || rule_path) DESC LIMIT 1
+            ) AS best
+            FROM parsed p
+        )
+        SELECT page_id, host, path, best.rule AS rule,
+               coalesce(best.verdict, CASE WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])(adult|bets|casino|pills|porn|spam|viagra|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM judged
+    """,
     "op1_line_dedup": """
         WITH lines AS (
             SELECT doc_id, i, line, translate(trim(line, E' \\t\\n\\x0b\\f\\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
