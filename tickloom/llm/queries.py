@@ -12,6 +12,7 @@ from .byte_bpe import bpe_encode
 from .decontaminate import find_leaks
 from .embedding_dedup import embedding_components
 from .jaccard_join import jaccard_components
+from .license_scan import scan_licenses
 from .line_dedup import line_dedup
 
 from .substring_dedup import substring_dedup
@@ -38,6 +39,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_url_filter": op7_url_filter,
