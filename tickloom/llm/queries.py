@@ -12,9 +12,11 @@ from .byte_bpe import bpe_encode
 from .decontaminate import find_leaks
 from .embedding_dedup import embedding_components
 from .jaccard_join import jaccard_components
+from .language_id import learn_languages, predict_language
 from .license_scan import scan_licenses
 from .line_dedup import line_dedup
 
+from .quality import fold, learn_quality, score_quality
 from .substring_dedup import substring_dedup
 from .url_filter import DEFAULT_RULES, filter_urls, site_rule
 
@@ -64,6 +66,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [*SITE_RULES, *DEFAULT_RULES]).drop("url")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = learn_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, net).select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn_languages(docs)
+    return predict_language(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id") == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.col("leak.start").alias("first_word"), "leak.n_words", "leak.n_equal")
@@ -77,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_quality": op8_quality,
+    "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
 

@@ -6,7 +6,7 @@ half of it, so the search starts at `base` words and doubles: at each length onl
 that are still candidates are hashed and counted, and those found once fall out, with all
 longer windows around them. Below full length a candidate is counted through one of its
 parts alone: the part of that length with the least hash, which any other occurrence of the
-candidate has at the same place. At full length each candidate's hash (128 bits) is grouped
+candidate has at the same place. At full length each candidate's hash (96 bits) is grouped
 to its first start; candidates that are not the first are repeats.
 
 Counting and grouping combine before they shuffle, and occurrences meet counts in a join
@@ -89,7 +89,7 @@ def _candidates(words: Words, before: int | None, window: int, survivors: pa.Arr
 
 
 def _emit(before: int | None, length: int, window: int):
-    """Rows of this level: (h, doc, pos), at full length (h, g, doc, pos)."""
+    """Rows of this level: (h, doc, pos), at full length with 32 more bits of hash, g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -98,15 +98,16 @@ def _emit(before: int | None, length: int, window: int):
             if length < window:
                 level = _Level(words, length, window)
                 at = level.parts(alive)
-                hashes = {"h": level.hashes[at]}
+                hashes, more = {"h": level.hashes[at]}, {}
             else:
                 at, h = words.windows(window)
                 g = words.windows(window, second=True)[1]
-                hashes = {"h": h[alive[at]], "g": g[alive[at]]}
+                hashes = {"h": h[alive[at]]}
+                more = {"g": (g[alive[at]] >> np.uint64(32)).astype(np.uint32).view(np.int32)}
                 at = at[alive[at]]
             rows = words.rows()[at]
             doc = batch.column("doc").to_numpy(zero_copy_only=False)[rows]
-            columns = {k: v.view(np.int64) for k, v in hashes.items()} | {"doc": doc, "pos": (at - words.first[rows]).astype(np.int32)}
+            columns = {k: v.view(np.int64) for k, v in hashes.items()} | more | {"doc": doc, "pos": (at - words.first[rows]).astype(np.int32)}
             yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     return run
@@ -122,14 +123,13 @@ def _remove(text_col: str, schema: T.StructType, before: int, window: int):
             place = np.full(len(words.starts), -1, dtype=np.int64)
             place[at] = np.arange(len(at))
             firsts = batch.column("__firsts")
-            for row, own in enumerate(firsts.to_pylist()):
-                if own:
-                    pos = np.frombuffer(own, dtype=">i8").reshape(-1, 2)
-                    i = words.first[row] + pos[:, 0]
-                    ok = i < words.first[row + 1]
-                    i, first_h = i[ok], pos[ok, 1].astype(np.int64).view(np.uint64)
-                    same = (place[i] >= 0) & (h[place[i]] == first_h)
-                    repeats[i[same]] = False
+            for row in np.flatnonzero(firsts.is_valid().to_numpy(zero_copy_only=False)):
+                own = firsts[row].values.to_numpy()
+                i = words.first[row] + (own >> 32)
+                ok = i < words.first[row + 1]
+                i, low = i[ok], own[ok] & 0xFFFFFFFF
+                same = (place[i] >= 0) & ((h[place[i]] & np.uint64(0xFFFFFFFF)).astype(np.int64) == low)
+                repeats[i[same]] = False
             delta = np.zeros(len(words.starts) + window + 1, dtype=np.int32)
             starts = np.flatnonzero(repeats)
             np.add.at(delta, starts, 1)
@@ -167,10 +167,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
         survivors = written(found.join(repeated, "h", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("survivors")), f"windows-{length}")
         before = length
-    whole = source.join(survivors.hint("shuffle_hash"), "doc").mapInArrow(_emit(before, window, window), "h long, g long, doc long, pos int")
+    whole = source.join(survivors.hint("shuffle_hash"), "doc").mapInArrow(_emit(before, window, window), "h long, g int, doc long, pos int")
     first = whole.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    place = F.concat(F.unhex(F.lpad(F.hex(F.col("first.pos").cast("long")), 16, "0")), F.unhex(F.lpad(F.hex("h"), 16, "0")))
-    firsts = written(first.groupBy(F.col("first.doc").alias("doc")).agg(F.array_join(F.collect_list(F.hex(place)), "").alias("firsts")).select("doc", F.unhex("firsts").alias("firsts")), "first-windows")
+    # a first start and half of its hash (rows that repeat an id can differ there) in one number
+    packed = F.shiftleft(F.col("first.pos").cast("long"), 32).bitwiseOR(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)))
+    firsts = written(first.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(packed).alias("firsts")), "first-windows")
     names = {"n_words": T.LongType(), "n_removed": T.LongType()}
     schema = schema_with(docs, **names)
     known = survivors.join(firsts, "doc", "left").select(F.col("doc").alias("__doc"), F.col("survivors").alias("__survivors"), F.col("firsts").alias("__firsts"))
