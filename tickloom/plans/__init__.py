@@ -1,4 +1,4 @@
 """The registered queries, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tickloom.plans import indicator_queries, select_queries  # noqa: F401
+from tickloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
