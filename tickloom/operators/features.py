@@ -63,11 +63,15 @@ def heatmap(rows: DataFrame, features: list[str], target: str, by: list[str]) ->
     return wide.unpivot("feature", ["n", "ic", "sd"], "metric", "value")
 
 
-def composite_scores(rows: DataFrame, weights: dict[str, float], key: str) -> DataFrame:
-    """score: weighted sum (a missing part counts 0); rank from the highest score, ties by key."""
+def top_ranked(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows in a total order, with rank from 1. Each task keeps that many before they meet."""
+    return rows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def composite_scores(rows: DataFrame, weights: dict[str, float], key: str, most: int = 1000) -> DataFrame:
+    """score: weighted sum (a missing part counts 0); the `most` highest with their rank, ties by key."""
     score = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
-    rows = rows.withColumn("score", F.round(score, 9))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    return top_ranked(rows.withColumn("score", F.round(score, 9)), [F.desc("score"), F.col(key)], most)
 
 
 def paired_delta(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -107,8 +111,8 @@ def r_squared(rows: DataFrame, actual: str, fitted: str, by: list[str]) -> DataF
     return both.groupBy(*by).agg((1 - ratio(F.sum(e * e), total)).alias("r2"))
 
 
-def status_counts(rows: DataFrame, status: str, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == s).alias(f"n_{s.lower()}") for s in ("F", "O", "P")])
+def status_counts(rows: DataFrame, status: str, values: list[str], by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == s).alias(f"n_{s.lower()}") for s in values])
 
 
 def best_trials(rows: DataFrame, study: str, trial: str, value: str, largest: bool = True) -> DataFrame:
@@ -159,10 +163,10 @@ def feature_clusters(rows: DataFrame, features: list[str], threshold: float = 0.
 OBJECTIVES = {"profit": ("best_value", True), "trials": ("trials", True), "low_cost": ("best_value", False)}
 
 
-def by_objective(rows: DataFrame, mode: str, key: str) -> DataFrame:
-    """rank by the mode's metric, ties by key; rows without it come last."""
+def by_objective(rows: DataFrame, mode: str, key: str, most: int = 1000) -> DataFrame:
+    """The `most` first rows by the mode's metric with their rank, ties by key; rows without it come last."""
     if mode not in OBJECTIVES:
         raise ValueError(f"unknown objective {mode!r}")
     metric, more = OBJECTIVES[mode]
     order = F.desc_nulls_last(metric) if more else F.asc_nulls_last(metric)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(order, key)))
+    return top_ranked(rows, [order, F.col(key)], most)

@@ -52,22 +52,29 @@ def not_found(requested: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 def pareto_front(points: DataFrame, key: str, larger: list[str], smaller: list[str]) -> DataFrame:
     """Points that no other one dominates (at least as good in all objectives, better in one).
 
-    Points of equal objectives collapse first, and each must beat the best of a coarse grid before
-    pairs are compared: points that a cell's corner dominates outright drop out without a pair.
+    Points of equal objectives collapse first. With two objectives no pairs are compared: points that
+    the best of a better stretch of the first objective dominates go in a map-side pass, and a running
+    best over what is left decides. With more, what is left of the same pass is compared pairwise.
     """
     goals = [*larger, *smaller]
     sign = {**dict.fromkeys(larger, 1), **dict.fromkeys(smaller, -1)}
     good = points.dropna(subset=goals)
     distinct = good.select(*goals).distinct()
-    # the best second objective for each value of the first: what it dominates goes before the pairwise step
-    first = goals[0]
-    if len(goals) == 2:
-        second = goals[1]
-        best = distinct.groupBy(first).agg((F.max if sign[second] > 0 else F.min)(second).alias(second))
-        w = Window.orderBy(F.desc(first) if sign[first] > 0 else F.asc(first))
-        ahead = (F.max if sign[second] > 0 else F.min)(second).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        better = F.col(second) > F.col("__ahead") if sign[second] > 0 else F.col(second) < F.col("__ahead")
-        front = best.withColumn("__ahead", ahead).where(F.col("__ahead").isNull() | better).drop("__ahead")
+    first, second = goals[0], goals[1] if len(goals) > 1 else goals[0]
+    up, best_of = sign[first] > 0, F.max if sign[second] > 0 else F.min
+    beats = (lambda a, b: a > b) if sign[second] > 0 else (lambda a, b: a < b)
+    if len(goals) <= 2:
+        edges = sorted(set(distinct.approxQuantile(first, [i / 200 for i in range(201)], 0.002)))
+        stretch = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(first)))
+        marked = distinct.withColumn("__s", stretch)
+        tops = marked.groupBy("__s").agg(best_of(second).alias("__top"))  # a row for each stretch: 202 at most
+        w = Window.orderBy(F.desc("__s") if up else F.asc("__s")).rowsBetween(Window.unboundedPreceding, -1)
+        tops = tops.select("__s", best_of("__top").over(w).alias("__better"))
+        left = marked.join(F.broadcast(tops), "__s").where(F.col("__better").isNull() | beats(F.col(second), F.col("__better")))
+        best = left.groupBy(first).agg(best_of(second).alias(second)) if len(goals) == 2 else left.select(first)
+        w = Window.orderBy(F.desc(first) if up else F.asc(first)).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = best.withColumn("__ahead", best_of(second).over(w))
+        front = ahead.where(F.col("__ahead").isNull() | beats(F.col(second), F.col("__ahead"))).drop("__ahead")
         return good.join(front, goals, "left_semi")
     other = distinct.select(*[F.col(g).alias(f"o_{g}") for g in goals])
     no_worse = [F.col(f"o_{g}") * sign[g] >= F.col(g) * sign[g] for g in goals]

@@ -92,7 +92,7 @@ def leaderboard(t):
     f = feats(t)
     a = X.information(f, "gap", "target", ["symbol"]).select("symbol", F.round("ic", 6).alias("gap_ic"))
     b = X.information(f, "ret", "target", ["symbol"]).select("symbol", F.round("ic", 6).alias("ret_ic"))
-    return X.composite_scores(a.join(b, "symbol"), {"gap_ic": 0.7, "ret_ic": 0.3}, "symbol").select("symbol", "score", F.col("rank").cast("long").alias("rank"))
+    return X.composite_scores(a.join(b, "symbol"), {"gap_ic": 0.7, "ret_ic": 0.3}, "symbol").select("symbol", "score", "rank")
 
 
 @query("""
@@ -126,7 +126,7 @@ def reconstruction_r2(t):
 
 @query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1")
 def status_counts(t):
-    return X.status_counts(t("orders"), "o_orderstatus", ["o_orderpriority"])
+    return X.status_counts(t("orders"), "o_orderstatus", ["F", "O", "P"], ["o_orderpriority"])
 
 
 BEST = "best AS (SELECT o_custkey AS study, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best_trial, max(o_totalprice) AS best_value, count(*) AS trials FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1)"
@@ -141,9 +141,9 @@ def best_trials(t):
     return best(t)
 
 
-@query(f"WITH {BEST} SELECT *, row_number() OVER (ORDER BY best_value ASC NULLS LAST, study) AS rank FROM best")
+@query(f"WITH {BEST} SELECT *, row_number() OVER (ORDER BY best_value ASC NULLS LAST, study) AS rank FROM best QUALIFY rank <= 1000")
 def objective_order(t):
-    return X.by_objective(best(t), "low_cost", "study").withColumn("rank", F.col("rank").cast("long"))
+    return X.by_objective(best(t), "low_cost", "study")
 
 
 def _importance(p: str) -> str:
