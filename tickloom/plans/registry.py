@@ -35,3 +35,15 @@ def bars_sql(width: str = "hour", name: str = "bars") -> str:
         SELECT event_type AS symbol, CAST(date_trunc('{width}', ts) AS TIMESTAMP) AS time, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
                min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS tick_volume
         FROM events WHERE value IS NOT NULL GROUP BY 1, 2)"""
+
+
+def stream_query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame that opens its own stream."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
