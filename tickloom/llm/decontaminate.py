@@ -4,9 +4,8 @@ Words are runs of ASCII letters and digits and of any character beyond ASCII, A-
 A mask names the word positions of a short span that count; the others may differ. The
 benchmark's hashes under each mask are looked up for every position of every text, and
 each hit's diagonal (text position less item position) is compared word by word. The
-stretch of the diagonal with the best sum (a match counts 1, a substitution -4, so that a
-stretch from 0 up agrees in 0.8 of its words) is a leak if it has enough words and
-agrees in at least the asked share.
+longest stretch of the diagonal that agrees in at least the asked share of its words, its
+first and last among them, is a leak if it has enough words.
 
 The benchmark is sent to the tasks in blocks of bounded size and every text meets every
 block, so neither side is shuffled. The default masks find every overlap of 8 to 16 words
@@ -79,15 +78,20 @@ class Index:
         return np.unique(np.concatenate(found), axis=0)
 
 
-def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """start, length, matches of the stretch with the largest sum (the first, and the longest from there)."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
-    low = np.minimum.accumulate(total)
-    gain = total - low
-    top = gain.max()
-    end = int(np.flatnonzero(gain == top)[-1])
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[0])
-    return start, end - start, int(equal[start:end].sum())
+def longest_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
+    """start, length, matches of the longest stretch that starts and ends with a match and agrees in the asked share
+    (the first of them); zeros if nothing matches."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0, 0
+    share = round(similarity * 1000)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1000 - share, -share))])
+    low = np.minimum.accumulate(total[at])  # the first start that reaches a sum is the farthest that an end can go with
+    first = np.minimum(np.searchsorted(-low, -total[at + 1], "left"), np.arange(len(at)))
+    length = at - at[first] + 1
+    end = int(length.argmax())
+    start = int(at[first[end]])
+    return start, int(length[end]), end - int(first[end]) + 1
 
 
 def _finder(blocks_index, text_col: str, schema: T.StructType, min_words: int, similarity: float):
@@ -101,8 +105,8 @@ def _finder(blocks_index, text_col: str, schema: T.StructType, min_words: int, s
                 first, last = int(index.first[item]), int(index.first[item + 1])
                 start = max(int(words.first[row]), first + diagonal)
                 end = min(int(words.first[row + 1]), last + diagonal)
-                at, n, same = _best_stretch(hashes[start:end] == index.words[start - diagonal : end - diagonal])
-                if n >= min(min_words, last - first) and same >= similarity * n:
+                at, n, same = longest_stretch(hashes[start:end] == index.words[start - diagonal : end - diagonal], similarity)
+                if n >= min(min_words, last - first):
                     leak = (same, -(start + at), n)
                     key = int(index.ids[item])
                     leaks[row][key] = max(leaks[row].get(key, leak), leak)
@@ -120,7 +124,7 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     min_words: int = 13, similarity: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """docs with leaks: for each benchmark item found in the text, its id, where its best stretch starts (words from 0),
+    """docs with leaks: for each benchmark item found in the text, its id, where its longest stretch starts (words from 0),
     the stretch's length and equal words.
 
     A stretch needs min_words words (an item with fewer: all its words). Items of fewer words than a mask counts are
