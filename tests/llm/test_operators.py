@@ -1,0 +1,391 @@
+"""The operators against brute force, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tickloom.llm import byte_bpe, language_id, license_scan, perfect_hash, quality
+from tickloom.llm.components import connected_components
+from tickloom.llm.decontaminate import find_leaks, longest_stretch
+from tickloom.llm.embedding_dedup import embedding_components
+from tickloom.llm.jaccard_join import Classes, jaccard_components, least_difference, parity_sketch
+from tickloom.llm.line_dedup import line_dedup
+from tickloom.llm.substring_dedup import substring_dedup
+from tickloom.llm.url_filter import DEFAULT_RULES, Rule, filter_urls, site_rule
+from tickloom.llm.words import cut
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+LONG = " ".join(f"w{i * 7919 % 4001}" for i in range(30_000))
+
+
+def texts() -> list[tuple[int | None, str | None]]:
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}" for a in ("Ka", "lo", "mi", "É", "ß") for b in ("x", "yy", "z", "ng")]
+    shared = ["This line stands in several documents here.", "  this LINE stands in several documents here.\t", "short", "Another shared line of some length."]
+    passage = " ".join(f"p{i}" for i in range(30))
+    out: list[tuple[int | None, str | None]] = [(None, shared[0]), (0, None), (1, ""), (2, " \n\t"), (3, LONG), (4, LONG)]
+    for i in range(5, 45):
+        lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25))) for _ in range(rng.randint(1, 4))]
+        lines += rng.sample(shared, rng.randint(0, 3))
+        if i % 4 == 0:
+            lines.append(passage + " " + passage)
+        out.append((i, "\n".join(lines)))
+    out += [(50, out[10][1]), (51, out[10][1] + " one more"), (52, out[20][1].replace("Kax", "Kaq", 1)), (53, "a b"), (54, "A  b"), (55, "solo")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", 1) for i, t in texts()]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_lines string, doc int").repartition(5)
+
+
+def sha(x: bytes) -> str:
+    return hashlib.sha256(x).hexdigest()
+
+
+def test_line_dedup(docs):
+    keys: dict[str, set] = {}
+    rows = texts()
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    order = lambda i: -1 if i is None else i
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 20:
+                keys.setdefault(key(line), set()).add(order(i))
+    want = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if not (len(keys.get(key(x), ())) >= 3 and max(keys[key(x)]) != order(i))]
+        want[i] = (len(lines), len(lines) - len(stay), "\n".join(stay))
+    out = line_dedup(docs)
+    assert out.columns == ["doc_id", "text", "doc", "n_lines", "n_dropped"]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in out.collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 20
+    assert line_dedup(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "a line that is long enough to count"
+    df = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
+    assert [r.n_dropped for r in line_dedup(df).collect()] == [0, 0, 0]
+    df = df.unionAll(spark.createDataFrame([(3, line + "\n" + line)], df.schema))
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 0)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_perfect_hash_is_minimal(keys):
+    k = np.array(sorted(keys), dtype=np.uint64)
+    sizes, bits = perfect_hash.build(k)
+    assert sorted(perfect_hash.index(sizes, bits, k).tolist()) == list(range(len(k)))
+
+
+CODEC = byte_bpe.Codec(byte_bpe.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encode():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODEC.ranks, special_tokens={}).encode_ordinary
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.lists(st.sampled_from(["a", "th", "the", "ing", " ", "  ", "\n", "'", "'re", "r", "e", "1", "é", "漢", "!", "=", "😀", "\t "]), max_size=40).map("".join) | st.text(max_size=40))
+def test_bpe_equals_tiktoken_with_tiny_leaves(text):
+    import tiktoken
+
+    small = (byte_bpe.LEAF_CHARS, byte_bpe.LEAF_BYTES)
+    byte_bpe.LEAF_CHARS, byte_bpe.LEAF_BYTES = 5, 3
+    try:
+        codec = byte_bpe.Codec(CODEC.ranks, public_tokenizers.PATTERN)
+        ids = codec.encode(text)
+        assert codec.decode(ids) == text.encode()
+    finally:
+        byte_bpe.LEAF_CHARS, byte_bpe.LEAF_BYTES = small
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODEC.ranks, special_tokens={})
+    assert ids.tolist() == enc.encode_ordinary(text)
+
+
+def test_bpe_on_long_runs_and_tables(docs, tiktoken_encode):
+    for t in ("a" * 20_000, "ab" * 7000, " " * 9000 + "x", "=" * 10_000, "qxz" * 5000):
+        assert CODEC.encode(t).tolist() == tiktoken_encode(t)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = byte_bpe.bpe_encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    for r in out.collect():
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == tiktoken_encode(r.text or "") and r.n_tokens == len(r.ids) // 4
+        assert bytes(r.decoded) == (r.text or "").encode()
+    again = byte_bpe.bpe_decode(out.drop("decoded"), path, public_tokenizers.PATTERN)
+    assert again.where("decoded <> cast(coalesce(text, '') as binary)").count() == 0
+    assert byte_bpe.bpe_encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def brute_substrings(rows, window=20):
+    seen, want = set(), {}
+    for i, t in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
+        w = WORDS.findall(t or "")
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1):
+            k = tuple(w[p : p + window])
+            if k in seen:
+                gone[p : p + window] = [True] * window
+            seen.add(k)
+        want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return want
+
+
+def test_substring_dedup(docs):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup(docs).collect()}
+    want = brute_substrings(texts())
+    assert got == want and sum(x[1] for x in want.values()) > 30_000
+
+
+def test_substring_dedup_short_windows_repeats_and_empty(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_substrings(rows, 8)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup(df, window=8, base=4).collect()} == want
+    t = " ".join(f"u{i}" for i in range(25))
+    twice = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup(twice).collect()) == [(1, 0), (1, 0), (2, 25)]
+    assert substring_dedup(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        substring_dedup(df, window=20, base=6)
+
+
+def test_license_scan(spark):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rows = [(1, "Released under the MIT License."), (2, None), (3, ""), (4, "gnu GNU General Public License cc by CC-BY"), (5, "mit. license; apache\nlicense"), (6, "Licensed under the gnu general public license, version 3"), (7, "Gnu general public licence"), (8, "cc bye " * 2000 + "cc by")]
+    df = spark.createDataFrame([(i, t, 5.0) for i, t in rows], "doc_id long, text string, score double")
+    out = license_scan.scan_licenses(df)
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t in rows:
+        w, starts, labels = word.findall((t or "").translate(LOW)), [], set()
+        for phrase, label in license_scan.BASE_PHRASES.items():
+            p = phrase.split()
+            own = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            starts += own
+            labels |= {label} if own else set()
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted(labels)) and labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert got[1].labels == "mit,mit-notice" and got[1].score == pytest.approx(1) and "gpl-3.0" in got[6].labels and got[7].labels == ""
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def brute_components(sets: dict, linked) -> dict:
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if linked(sets[a], sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def shingles(t: str | None, n: int) -> frozenset:
+    w = WORDS.findall((t or "").translate(LOW))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 60)])
+def test_jaccard_components(spark, n, percent):
+    rng = random.Random(n)
+    base = [[f"v{rng.randint(0, 60)}" for _ in range(rng.randint(4, 40))] for _ in range(25)]
+    rows = texts()[1:] if n == 4 else []
+    for k in range(120):  # chains and near copies
+        w = list(base[k % 25])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 60)}"
+        rows.append((100 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: shingles(t, n) for i, t in rows}
+    link = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
+    want = brute_components(sets, link)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, n=n, percent=percent).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i in sets} and any(want[i] != i for i in want)
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    a = "one two three four five six seven"
+    df = spark.createDataFrame([(None, a), (None, a), (1, a), (2, a.upper()), (2, None), (3, "other words here entirely apart from those")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(df, n=4, percent=85).collect()}
+    assert got == {None: None, 1: None, 2: None, 3: 3}
+    assert jaccard_components(df.limit(0)).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80))
+def test_sketches_never_exceed_the_difference(a, b):
+    x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
+    assert least_difference(parity_sketch(x), parity_sketch(y)) <= len(a ^ b)
+    assert least_difference(parity_sketch(x), parity_sketch(x)) == 0
+
+
+def test_classes_leave_room_for_every_difference():
+    c = Classes(85, 5000)
+    for k, (low, high) in enumerate(zip(c.low, c.low[1:], strict=False)):
+        worst = max((m + high - 1 - 2 * (-(-85 * (m + high - 1) // 185)) for m in range(int(low), int(high))), default=0)
+        assert c.fragments[k] > worst + c.spare[k] - 1 and c.fragments[k] - c.spare[k] > worst
+
+
+def test_embedding_components(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 16))
+    rows = []
+    for i in range(150):
+        v = centres[i % 30] + 0.15 * rng.standard_normal(16)
+        rows.append((i, [float(np.float32(x)) for x in v], i % 3))
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], 1), (202, None, 0), (203, [0.0] * 16, 0), (204, [float("nan")] * 16, 0), (205, rows[0][1][:8], 0), (206, rows[3][1], None), (207, [], 0), (208, [None] + rows[0][1][1:], 0), (None, rows[1][1], 1)]
+    df = spark.createDataFrame([(i, v, label, 9) for i, v, label in rows], "vec_id long, embedding array<float>, label int, n_links int").repartition(4)
+
+    def unit(v):
+        if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+            return None
+        return np.array(v) / np.linalg.norm(v)
+
+    items = {(-1 if i is None else i): (unit(v), label) for i, v, label in rows}
+    link = lambda a, b: a[0] is not None and b[0] is not None and a[1] == b[1] and a[1] is not None and len(a[0]) == len(b[0]) and a[0] @ b[0] >= 0.93
+    want = brute_components(items, link)
+    got = {(-1 if r.vec_id is None else r.vec_id): r for r in embedding_components(df).collect()}
+    assert set(got) == set(items)
+    n = {k: sum(link(items[k], items[j]) for j in items if j != k) for k in items}
+    found = sum(r.n_links for r in got.values())
+    assert all(got[k].n_links <= n[k] for k in items) and found >= 0.9 * sum(n.values()) > 0
+    if found == sum(n.values()):
+        assert {k: (-1 if r.component_id is None else r.component_id) for k, r in got.items()} == want
+    assert all(got[k].kept == (got[k].component_id == got[k].vec_id) for k in got)
+    assert embedding_components(df.limit(0)).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    n = 70
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(500, 501), (502, 502)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(links).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), 500: 500, 501: 500}
+
+
+def test_url_filter(spark):
+    rules = [site_rule("allow", "com", "/"), site_rule("block", "example.com", "/en/"), site_rule("allow", "www.example.com", "/en/"), site_rule("block", "net", "/es/"), Rule("any", "block", r"\.exe$", ()), *DEFAULT_RULES]
+    urls = {
+        "http://A.EXAMPLE.com/en/x": ("a.example.com", "/en/x", "example.com/en/", "block"),
+        "https://www.example.com/en/?q#f": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+        "http://x.com": ("x.com", "", None, "allow"),
+        "ftp://casino-win.org/a": ("casino-win.org", "/a", None, "block"),
+        "ftp://casinos.org/a": ("casinos.org", "/a", None, "allow"),
+        "http://a.net/es/b://c": ("a.net", "/es/b://c", "net/es/", "block"),
+        "http://a.org/b.exe?x": ("a.org", "/b.exe", None, "block"),
+        "no scheme": ("", "", None, "allow"),
+        "": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "http://é.net/ES/": ("é.net", "/ES/", None, "allow"),
+        "http://h\nx.net/es/\ny": ("h\nx.net", "/es/\ny", "net/es/", "block"),
+    }
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate([*urls, *urls])], "page_id long, url string, rule string")
+    out = filter_urls(df, rules)
+    assert out.count() == 2 * len(urls)
+    for r in out.collect():
+        assert (r.host, r.path, r.rule, r.verdict) == urls[r.url], r.url
+    assert filter_urls(df.limit(0), rules).count() == 0
+
+
+def test_quality_network_covers_whole_texts_and_learns(spark):
+    good = [f"the quick words of text {i} stand here " * 20 for i in range(60)]
+    bad = [f"!!$$ ||| %%% {i} ### " * 30 for i in range(60)]
+    net = quality.learn([x.encode() for x in good[:40] + bad[:40]], [1] * 40 + [0] * 40)
+    p = lambda t: float(net.probability(net.combined(quality.chunk_peaks(net, np.frombuffer(t.encode(), np.uint8)))))
+    assert all(p(t) > 0.5 for t in good[40:]) and all(p(t) < 0.5 for t in bad[40:])
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 505, 506, 507, 512, 513, 5000, 200_000):  # blocks and chunks against the plain definition
+        data = rng.integers(0, 256, n, dtype=np.uint8)
+        r = net.responses(quality.byte_pairs(data))
+        want = np.stack([r[s : s + quality.CHUNK].max(0) for s in quality.chunk_starts(len(r))])
+        assert (quality.chunk_peaks(net, data) == want).all() and quality.chunk_starts(len(r))[-1] + quality.CHUNK >= len(r)
+    df = spark.createDataFrame([(1, None, 3.0), (2, "", 3.0), (3, LONG, 3.0), (4, "x", None)], "doc_id long, text string, score double")
+    rows = {r.doc_id: r for r in quality.score_quality(df, net).collect()}
+    assert rows[1].score == rows[2].score and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
+    assert quality.score_quality(df.limit(0), net).count() == 0
+    empty = quality.learn_quality(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {r.score for r in quality.score_quality(df, empty).collect()} == {0.5}
+
+
+def test_language_field_against_enumeration():
+    """Forward-backward equals summing over all label paths."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    m = language_id.Chain(["a", "b", "c"], np.zeros((1, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3))
+    scores = rng.standard_normal((2, 5, 3))
+    got, _ = m.forward_backward(scores, np.array([5, 3]))
+    for c, n in ((0, 5), (1, 3)):
+        total = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=n):
+            w = np.exp(m.start[path[0]] + sum(scores[c, t, path[t]] for t in range(n)) + sum(m.moves[path[t], path[t + 1]] for t in range(n - 1)))
+            for t in range(n):
+                total[t, path[t]] += w
+        assert np.allclose(got[c, :n], total / total.sum(1, keepdims=True))
+
+
+def test_language_id_labels_code_switched_text(spark):
+    rng = random.Random(4)
+    make = {"xx": "ba bo bi", "yy": "ku kel kim", "zz": "sho sher shan"}
+    words = {k: [a + b for a in v.split() for b in ("", "na", "tor", "lim", "ver")] for k, v in make.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate(["xx", "yy", "zz"] * 60)]
+    df = spark.createDataFrame(rows + [(1000, "lost", None), (None, "x", "xx")], "doc_id long, text string, lang string")
+    model = language_id.learn_languages(df)
+    assert model.languages == ["xx", "yy", "zz"]
+    mixed = text("xx", 40) + " " + text("yy", 40)
+    p = language_id.label_words(model, cut(pa.array([mixed]), lower=True))
+    assert (p[:40].argmax(1) == 0).mean() > 0.9 and (p[40:].argmax(1) == 1).mean() > 0.9
+    ask = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, text("zz", 9000)), (5, text("yy", 1)), (6, mixed + " " + text("yy", 20))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in language_id.predict_language(ask, model).collect()}
+    assert [rows[i].lang_pred for i in range(1, 7)] == ["und", "und", "und", "zz", "yy", "yy"]
+    assert all(0 <= r.score <= 1 for r in rows.values())
+    none = language_id.learn_languages(df.where("lang is null"))
+    assert {r.lang_pred for r in language_id.predict_language(ask, none).collect()} == {"und"}
+
+
+def test_decontaminate(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
+    hit = " ".join(item)
+    wrong = lambda *at: " ".join("zzz" if i in at else w for i, w in enumerate(item))
+    docs = [
+        (1, "before it " + hit.upper() + " after"), (2, wrong(3, 9)), (3, wrong(1, 5, 9, 13, 17)), (4, " ".join(item[:12])), (5, " ".join(item[:13])), (6, None), (7, ""),
+        (8, hit + " filler " * 5000 + hit), (9, " ".join(reversed(item))), (10, "one two three four five six"), (11, "one two zzz four five six"), (12, "one two zzz zzz five six"), (13, wrong(1, 4, 7, 10, 13, 16)), (None, hit),
+    ]
+    bench = spark.createDataFrame([(7, hit), (8, "one two three four five six"), (9, None), (None, hit), (10, ""), (11, hit)], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, leaks string")
+    out = {r.doc_id: {x.item_id: (x.start, x.n_words, x.n_equal) for x in r.leaks} for r in find_leaks(df, bench).collect()}
+    assert out[1] == {7: (2, 18, 18), 11: (2, 18, 18)} and out[2][7] == (0, 18, 16) and out[3][7] == (2, 15, 12) and out[13] == {} and out[4] == {}
+    assert out[5][7] == (0, 13, 13) and out[6] == out[7] == out[9] == {} and out[8][7] == (0, 18, 18)
+    assert out[10] == {8: (0, 6, 6)} and out[11] == {8: (0, 6, 5)} and out[12] == {} and set(out[None]) == {7, 11}
+    rng = random.Random(3)
+    for _ in range(300):
+        eq = np.array([rng.random() < 0.75 for _ in range(rng.randint(1, 40))])
+        spans = [(e - s + 1, -s) for s in range(len(eq)) for e in range(s, len(eq)) if eq[s] and eq[e] and eq[s : e + 1].mean() >= 0.8 - 1e-12]
+        n, s = max(spans, default=(0, 0))
+        assert longest_stretch(eq, 0.8)[:2] == (-s, n)
+    blocks = {r.doc_id: {x.item_id for x in r.leaks} for r in find_leaks(df, bench, block_bytes=60).collect()}
+    assert blocks == {k: set(v) for k, v in out.items()}
+    assert find_leaks(df, bench.limit(0)).where("size(leaks) > 0").count() == 0 and find_leaks(df.limit(0), bench).count() == 0

@@ -1,0 +1,63 @@
+"""The registered queries and the pipeline over the smallest tables."""
+
+import collections
+
+import numpy as np
+import pytest
+from conftest import SF
+from helpers import duck_rows, spark_rows
+
+import corpus_pipeline
+from tickloom.llm import queries as Q
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_query_equals_its_sql(spark, duck, name):
+    assert spark_rows(Q.QUERIES[name](spark, SF)) == duck_rows(duck, Q.ORACLE_SQL[name])
+
+
+def test_held_out_accuracy(spark, duck):
+    sf = SF.replace("0.001", "0.01")
+    languages = dict(duck.execute(f"SELECT doc_id, lang FROM '{sf}/documents.parquet'").fetchall())
+    quality = dict(duck.execute(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    rows = [r for r in Q.op9_language_id(spark, sf).collect() if r.held_out]
+    assert np.mean([r.lang_pred == languages[r.doc_id] for r in rows]) > 0.97
+    rows = [r for r in Q.op8_quality(spark, sf).collect() if r.held_out and r.doc_id in quality]
+    assert np.mean([r.predicted == quality[r.doc_id] for r in rows]) > 0.93
+
+
+def test_pipeline_stage_by_stage(spark, duck):
+    """Each stage's rows against what its operator's rule says of its own input."""
+    from tickloom.llm.shared import written
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF), name)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.dtypes == docs.dtypes
+            before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, out))
+            assert set(after) <= set(before)
+            if name == "line_dedup":
+                assert set(after) == set(before)
+                lines = collections.Counter(k for t in after.values() for k in {x.strip(" \t\n\x0b\x0c\r").lower() for x in t.split("\n")} if len(k) >= 20)
+                assert max(lines.values()) <= 2
+                assert out.where("n_chars <> length(text)").count() == 0
+            elif name != "near_duplicates":
+                assert all(after[k] == before[k] for k in after)
+            docs = out
+        sizes.append(out.count())
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 100
+    assert out.where("not round_trip").count() == 0 and out.count() == docs.count()
+    run = corpus_pipeline.run(spark, SF)
+    assert run.columns == out.columns and run.exceptAll(out).count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    from tickloom.llm.jaccard_join import jaccard_components
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionAll(docs.limit(3))  # rows that repeat an id
+    kept = sorted(r.doc_id for r in corpus_pipeline.no_near_duplicates(spark, docs, SF).collect())
+    groups = jaccard_components(docs).collect()
+    assert kept == sorted({r.component_id for r in groups})
