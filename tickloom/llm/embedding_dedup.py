@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import id_key, partitions, written
+from .shared import id_key, partitions, runs, written
 
 BLOCK = 512
 RECALL = 0.995
@@ -66,25 +66,6 @@ def _sign(bits: int, tables: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each key; rows come sorted by keys."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        columns = np.stack([np.array(batch.column(k)).astype(np.int64) for k in keys], 1)
-        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if e <= s:
-                continue
-            if held and tuple(columns[s]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = tuple(columns[s])
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _local_roots(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The least id in each vector's component, over links i - j."""
     root = ids.copy()
@@ -98,7 +79,7 @@ def _local_roots(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, ["key", "i", "j"]):
+        for group in runs(batches, ["key", "i", "j"]):
             if group.num_rows < 2:
                 continue
             d, t = group.column("dim")[0].as_py(), group.column("t")[0].as_py()

@@ -10,15 +10,21 @@ classes; a class fixes how many fragments its sets are cut into:
 * A fragment may be empty in both. The class has some fragments to spare: a set with no
   more empty fragments than that still shares a filled one with every partner. Only sets
   with more empty ones also give those.
+* Leaving a fixed set of shingles out of every set differs no pair by more, so the most
+  frequent shingles are left out of fragments: a passage in many texts brings none of them
+  together. A set that they leave too empty gives the fragments of its whole set besides.
+  Which shingles these are (and how many are sent to the tasks) does not change the result.
 * A set gives fragments for its own class and for each larger class where a partner can be.
 
 Equal sets collapse to the smallest id first. In a group of sets with one fragment in
-common each meets only the group's first (a link to it is all that components need), and
-exact overlaps are counted: each fragment's partial overlap on its own, summed per pair,
-stopped once the rest cannot reach the threshold. Groups that the links have not made one
-component then meet another member, drawn by hash for each fragment. What is still apart
-after that is compared pair by pair, across components only; so no link that joins two
-components is missed, and a large group of near copies costs a multiple of its size.
+common each meets only the group's first (a link to it is all that components need). A
+pair is dropped if its sizes, or the bits in which two parity sketches differ (each stands
+for a shingle of only one set), exceed what the threshold allows; then exact overlaps are
+counted, each fragment's partial overlap on its own, summed per pair, stopped once the rest
+cannot reach the threshold. Groups that the links have not made one component then meet
+another member, drawn by hash for each fragment. What is still apart after that is compared
+across components, block by block on sketches, and only pairs that these let link become
+rows; so no link that joins two components is missed.
 """
 
 from __future__ import annotations
@@ -31,10 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import id_key, slices, written
+from .shared import id_key, partitions, runs, slices, written
 from .words import Words, cut, mix
 
 GROWTH = 1.5
+#: Shingles in this many texts or more, the most frequent first, are left out of fragments.
+HOT_TEXTS = 1000
+MOST_HOT = 200_000
+SKETCH_BITS = 1 << 20
+BLOCK = 256
 CHECK_FRAGMENTS = 16
 
 
@@ -50,11 +61,13 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         few = np.flatnonzero(words.counts == short)
         if len(few):
             s_at, s_h = words.windows(short)
-            own = np.isin(s_at, words.first[few])
-            own[own] &= words.counts[rows[s_at[own]]] == short
+            own = words.counts[rows[s_at]] == short
             row, h = np.concatenate([row, rows[s_at[own]]]), np.concatenate([h, s_h[own]])
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+            order = np.argsort(row, kind="stable")
+            row, h = row[order], h[order]
+    ends = np.searchsorted(row, np.arange(len(words.first)))
+    for s, e in zip(ends, ends[1:], strict=False):
+        h[s:e].sort()
     new = np.ones(len(h), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     row, h = row[new], h[new]
@@ -72,7 +85,7 @@ class Classes:
         self.low = np.array(low, dtype=np.int64)
         top = self.low[1:] - 1
         differ = (100 - percent) * 2 * top // (100 + percent)
-        self.spare = np.where(differ > 0, np.maximum(1, differ // 50), 0)
+        self.spare = np.array([_spare(int(d), int(x)) for d, x in zip(differ, self.low, strict=False)])
         self.fragments = differ + 1 + self.spare
 
     def of(self, size: int) -> list[int]:
@@ -84,25 +97,63 @@ class Classes:
         return out
 
 
+def _spare(differ: int, size: int) -> int:
+    """Enough fragments to spare that few sets have more empty ones: the mean of the smallest sets that a class gets,
+    and four deviations."""
+    spare = 1 if differ else 0
+    while differ:
+        f = differ + 1 + spare
+        empty = f * np.exp(-0.85 * size / f)
+        if spare >= empty + 4 * np.sqrt(empty) or spare > differ:
+            break
+        spare += 1
+    return spare
+
+
 def _fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
 
-def fragment_keys(hashes: np.ndarray, classes: Classes) -> np.ndarray:
-    """The keys under which a set (sorted hashes) meets its partners."""
+def fragment_keys(hashes: np.ndarray, classes: Classes, hot: np.ndarray) -> np.ndarray:
+    """The keys under which a set (sorted hashes) meets its partners; hot: sorted hashes that are left out."""
+    rest = hashes
+    if len(hot):
+        rest = hashes[hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes]
     keys = []
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(mix(hashes), out=total[1:])
     for k in classes.of(len(hashes)):
-        f = int(classes.fragments[k])
-        ends = np.searchsorted(_fragment_of(hashes, f), np.arange(f + 1))
-        content = total[ends[1:]] - total[ends[:-1]]
-        size = np.diff(ends)
-        key = mix(mix(content + np.uint64(0x1234567)) + mix((np.arange(f, dtype=np.uint64) << np.uint64(32)) + (np.uint64(k) << np.uint64(20)) + size.astype(np.uint64)))
-        keys.append(key if (size == 0).sum() > classes.spare[k] else key[size > 0])
+        key, size = _fragments(rest, int(classes.fragments[k]), k, 0)
+        keys.append(key[size > 0])
+        if (size == 0).sum() > classes.spare[k]:
+            key, size = _fragments(hashes, int(classes.fragments[k]), k, 1)
+            keys.append(key if (size == 0).sum() > classes.spare[k] else key[size > 0])
     return np.concatenate(keys)
 
 
+def _fragments(hashes: np.ndarray, f: int, k: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key and the size of each fragment."""
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(mix(hashes), out=total[1:])
+    ends = np.searchsorted(_fragment_of(hashes, f), np.arange(f + 1))
+    size = np.diff(ends)
+    place = (np.arange(f, dtype=np.uint64) << np.uint64(32)) + np.uint64((2 * k + kind) << 20) + size.astype(np.uint64)
+    return mix(mix(total[ends[1:]] - total[ends[:-1]] + np.uint64(0x1234567)) + mix(place)), size
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each residue: whether an odd number of hashes has it. Two bits or more for each hash."""
+    bits = min(SKETCH_BITS, max(64, 1 << (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of hashes that are in one of the sets only, at least; a longer sketch folds to the other's length."""
+    x, y = (np.frombuffer(v, dtype=np.uint64) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def overlap_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * |a & b| >= percent * |a | b|, from the fragments' partial overlaps (sorted sets, none empty)."""
     need = -(-percent * (len(a) + len(b)) // (100 + percent))
@@ -127,7 +178,8 @@ def _sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _describe(n: int):
-    """(doc, n_shingles, s1, s2): each set's size and 128-bit hash."""
+    """(doc, n_shingles, s1, s2, sketch): each set's size, 128-bit hash and sketch; and, with hot, (s1, n_shingles) of
+    shingles in several texts of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -136,24 +188,49 @@ def _describe(n: int):
             for salt in (1, 2):
                 total = np.zeros(len(h) + 1, dtype=np.uint64)
                 np.cumsum(mix(h + np.uint64(salt)), out=total[1:])
-                sums.append(pa.array(mix(total[first[1:]] - total[first[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(first)), *sums], names=["doc", "n_shingles", "s1", "s2"])
+                sums.append(mix(total[first[1:]] - total[first[:-1]]).view(np.int64))
+            shingle, texts = np.unique(h, return_counts=True)
+            shingle, texts = shingle[texts > 2].view(np.int64), texts[texts > 2]
+            none = len(shingle)
+            sketches = [parity_sketch(h[s:e]) for s, e in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc": pa.array(batch.column("doc").to_pylist() + [None] * none, pa.int64()),
+                    "n_shingles": pa.array(np.concatenate([np.diff(first), texts])),
+                    "s1": pa.array(np.concatenate([sums[0], shingle])),
+                    "s2": pa.array(np.concatenate([sums[1], np.zeros(none, np.int64)])),
+                    "sketch": pa.array(sketches + [None] * none, pa.binary()),
+                    "hot": pa.array(np.arange(batch.num_rows + none) >= batch.num_rows),
+                }
+            )
 
     return run
 
 
-def _keys(n: int, percent: int, largest: int):
+def _keys(n: int, percent: int, largest: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(percent, largest)
         for batch in slices(batches, "text"):
             h, first = _sets_of(batch.column("text"), n)
-            keys = [fragment_keys(h[s:e], classes) if e > s else h[:0] for s, e in zip(first, first[1:], strict=False)]
+            keys = [fragment_keys(h[s:e], classes, hot.value) if e > s else h[:0] for s, e in zip(first, first[1:], strict=False)]
             doc = np.repeat(batch.column("doc").to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, h[:0]]).view(np.int64)), pa.array(doc)], names=["key", "doc"])
 
     return run
 
 
+def _near(percent: int):
+    """Pairs whose sketches differ by no more than a link can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")]
+            ok = [least_difference(x, y) <= (100 - percent) * (m + n) // (100 + percent) for m, n, x, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a"):
@@ -164,11 +241,16 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """pairs (a, b) that link. Each text meets its pairs in joins that adaptive execution can split."""
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    return written(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(n, percent), "a long, b long"), name)
+def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int, percent: int, step: str) -> DataFrame:
+    """Of pairs (a, b) of different sets those that link. Sketches meet pairs, and texts what these leave, in joins that
+    adaptive execution can split; the texts of those few are written first, so that all texts are shuffled once."""
+    side = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = written(sized.mapInArrow(_near(percent), "a long, b long"), f"near-{step}")
+    needed = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    texts = written(source.join(needed.hint("shuffle_hash"), "doc", "left_semi"), f"texts-{step}")
+    left, right = (texts.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return written(near.join(left, "a").join(right, "b").mapInArrow(_verify(n, percent), "a long, b long"), f"links-{step}")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -183,32 +265,73 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_rows, n_ids = source.agg(F.count("*"), F.count_distinct("doc")).first()
     if n_rows != n_ids:
         source = source.groupBy("doc").agg(F.max("text").alias("text"))
-    sets = written(source.mapInArrow(_describe(n), "doc long, n_shingles long, s1 long, s2 long"), "sets")
-    classes = written(sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
-    largest = classes.agg(F.max("n_shingles")).first()[0] or 1
-    texts = source.join(classes.select(F.col("rep").alias("doc")).hint("shuffle_hash"), "doc", "left_semi")
-    keys = texts.mapInArrow(_keys(n, percent, largest), "key long, doc long")
+    described = written(source.mapInArrow(_describe(n), "doc long, n_shingles long, s1 long, s2 long, sketch binary, hot boolean"), "sets")
+    sets = described.where("not hot").select("doc", "n_shingles", "s1", "s2")
+    classes = written(sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
+    reps = written(described.where("not hot").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", F.col("n_shingles").alias("n"), "sketch"), "representatives")
+    largest = reps.agg(F.max("n")).first()[0] or 1
+    frequent = described.where("hot").groupBy("s1").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HOT_TEXTS).orderBy(F.desc("n"), "s1").limit(MOST_HOT)
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s1"] for r in frequent.collect()], dtype=np.int64).view(np.uint64)))
+    # counted and joined in one partitioning: Spark reuses the exchange, and the fragments are made once
+    keys = source.mapInArrow(_keys(n, percent, largest, hot), "key long, doc long").repartition("key")
     groups = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last").select("key", "hub")
-    shared = written(keys.join(groups, "key"), "fragments")
-    links = _verified(shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), texts, n, percent, "links-1")
-    for step in (2, 3):
+    # the least id of a group is a representative; other copies of its members end here
+    shared = written(keys.join(groups, "key").join(reps.select("doc"), "doc", "left_semi"), "fragments")
+    links = _verified(shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), reps, source, n, percent, "1")
+    for step in ("2", "3"):
         comp = connected_components(links)
         member = shared.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        apart = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct(F.xxhash64("key", "doc"), "doc", "component")).alias("drawn")).where("c1 <> c2")
-        member = member.join(apart.select("key", F.col("drawn.doc").alias("other"), F.col("drawn.component").alias("other_component")), "key")
-        if step == 3:
-            other = member.select("key", F.col("doc").alias("other2"), F.col("component").alias("component2"))
-            member = member.drop("other", "other_component").join(other, "key").withColumnsRenamed({"other2": "other", "component2": "other_component"}).where("component < other_component")
-        pairs = written(_ordered(member.where("component <> other_component")).distinct(), f"pairs-{step}")
+        drawn = F.min(F.struct(F.xxhash64("key", "doc"), "doc", "component")).alias("drawn")
+        apart = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), drawn).where("c1 <> c2")
+        if step == "2":
+            member = member.join(apart.select("key", F.col("drawn.doc").alias("other"), F.col("drawn.component").alias("other_component")), "key")
+            pairs = member.where("component <> other_component").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"))
+        else:
+            pairs = _apart(member.join(apart.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(reps, "doc"), percent)
+        pairs = written(pairs.distinct(), f"pairs-{step}")
         if pairs.isEmpty():
             break
-        links = written(links.union(_verified(pairs, texts, n, percent, f"links-{step}")), "links")
+        links = written(links.union(_verified(pairs, reps, source, n, percent, step)), "links")
     comp = connected_components(links).withColumnRenamed("node", "rep")
     of_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     id_ = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
     return sets.join(of_class, ["s1", "s2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))).select(id_("doc").alias(id_col), "n_shingles", id_("component").alias("component_id"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    a, b = F.least("doc", "other"), F.greatest("doc", "other")
-    return pairs.select(a.alias("a"), b.alias("b"))
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a group and that sizes and sketches let link.
+
+    Large groups are cut into blocks, and each pair of blocks is compared as arrays, by a task of its own: only pairs
+    that pass become rows."""
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "doc", "component", "n", "sketch")
+    dealt = blocks.repartition(partitions(members), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for group in runs(batches, ["key", "i", "j"]):
+            doc, comp, n = (np.array(group.column(c)) for c in ("doc", "component", "n"))
+            sketches = [np.frombuffer(x, dtype=np.uint64) for x in group.column("sketch").to_pylist()]
+            least = min(map(len, sketches))
+            bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in sketches])
+            block, i, j = np.array(group.column("block")), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            for k in np.flatnonzero(block == i):
+                rest = np.flatnonzero((block == j) & (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+                if i == j:
+                    rest = rest[rest > k]
+                differ = np.bitwise_count(bits[rest] ^ bits[k]).sum(1)
+                rest = rest[differ <= (100 - percent) * (n[rest] + n[k]) // (100 + percent)]
+                if len(rest):
+                    found.append(np.stack([np.minimum(doc[rest], doc[k]), np.maximum(doc[rest], doc[k])], 1))
+            if sum(map(len, found)) > 50_000:
+                yield _pair_batch(found)
+                found = []
+        if found:
+            yield _pair_batch(found)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,9 +84,24 @@ def _byte_lengths(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key; rows come sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = np.stack([np.array(batch.column(k)).astype(np.int64) for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e <= s:
+                continue
+            if held and tuple(columns[s]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(columns[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
