@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from tickloom.llm import byte_bpe, language_id, license_scan, perfect_hash, quality
 from tickloom.llm.components import connected_components
-from tickloom.llm.decontaminate import find_leaks, longest_stretch
+from tickloom.llm.decontaminate import MASKS, find_leaks, longest_stretch
 from tickloom.llm.embedding_dedup import embedding_components
 from tickloom.llm.jaccard_join import Classes, jaccard_components, least_difference, parity_sketch
 from tickloom.llm.line_dedup import line_dedup
@@ -366,6 +366,14 @@ def test_language_id_labels_code_switched_text(spark):
     assert {r.lang_pred for r in language_id.predict_language(ask, none).collect()} == {"und"}
 
 
+def test_masks_find_every_pattern_of_substitutions():
+    import itertools
+
+    for n in range(6, 19):
+        for wrong in itertools.combinations(range(n), n // 5):
+            assert any(all(at + o not in wrong for o in mask) for mask in MASKS for at in range(n - mask[-1]))
+
+
 def test_decontaminate(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
     hit = " ".join(item)

@@ -8,8 +8,9 @@ longest stretch of the diagonal that agrees in at least the asked share of its w
 first and last among them, is a leak if it has enough words.
 
 The benchmark is sent to the tasks in blocks of bounded size and every text meets every
-block, so neither side is shuffled. The default masks find every overlap of 8 to 16 words
-with a substitution in a fifth of them, and so every longer one of which 13 words hold two.
+block, so neither side is shuffled. The default masks find every overlap of 6 to 18 words
+with a substitution in up to a fifth of them (tried out in tests/llm), and so every longer
+one that has such a stretch; one of 5 words they find only whole.
 """
 
 from __future__ import annotations
