@@ -97,6 +97,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": """
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), starts AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY ws[pos:pos + 19] ORDER BY doc_id, pos) > 1 AS again
+            FROM texts, unnest(range(1, len(ws) - 18)) AS p(pos)
+        ), gone AS (
+            SELECT DISTINCT doc_id, pos + k AS pos FROM starts, range(20) AS r(k) WHERE again
+        ), words AS (
+            SELECT doc_id, pos, ws[pos] AS word FROM texts, unnest(range(1, len(ws) + 1)) AS p(pos)
+        ), judged AS (
+            SELECT w.doc_id, w.pos, w.word, g.pos IS NOT NULL AS removed FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos
+        ), sums AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed) AS kept
+            FROM judged GROUP BY doc_id
+        )
+        SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM texts t LEFT JOIN sums s ON s.doc_id = t.doc_id
+    """,
     "op7_url_filter": """
         WITH parsed AS (
             SELECT page_id,
