@@ -97,6 +97,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": """
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, ws[pos:pos + 3] AS shingle FROM texts, unnest(range(1, greatest(len(ws) - 2, 2))) AS p(pos) WHERE len(ws) > 0
+        ), sizes AS (
+            SELECT t.doc_id, count(shingle) AS n FROM texts t LEFT JOIN shingles s ON s.doc_id = t.doc_id GROUP BY t.doc_id
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)
+        ), reach(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM texts UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id
+        )
+        SELECT s.doc_id, s.n AS n_shingles, min(root) AS component_id FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+    """,
     "op3_substring_dedup": """
         WITH texts AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
