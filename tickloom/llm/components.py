@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of itself and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -212,8 +212,14 @@ def _keys(n: int, percent: int, largest: int, hot):
         classes = Classes(percent, largest)
         for batch in slices(batches, "text"):
             h, first = _sets_of(batch.column("text"), n)
-            keys = [fragment_keys(h[s:e], classes, hot.value) if e > s else h[:0] for s, e in zip(first, first[1:], strict=False)]
-            doc = np.repeat(batch.column("doc").to_numpy(), [len(k) for k in keys])
+            ids = batch.column("doc").to_numpy()
+            least: dict[bytes, int] = {}  # of equal sets in a slice only the smallest id can be the one that stands for them
+            for row in np.argsort(ids, kind="stable")[::-1].tolist():
+                if first[row + 1] > first[row]:
+                    least[h[first[row] : first[row + 1]].tobytes()] = row
+            rows = sorted(least.values())
+            keys = [fragment_keys(h[first[r] : first[r + 1]], classes, hot.value) for r in rows]
+            doc = np.repeat(ids[rows], [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, h[:0]]).view(np.int64)), pa.array(doc)], names=["key", "doc"])
 
     return run
@@ -273,10 +279,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = described.where("hot").groupBy("s1").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HOT_TEXTS).orderBy(F.desc("n"), "s1").limit(MOST_HOT)
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s1"] for r in frequent.collect()], dtype=np.int64).view(np.uint64)))
     # counted and joined in one partitioning: Spark reuses the exchange, and the fragments are made once
-    keys = source.mapInArrow(_keys(n, percent, largest, hot), "key long, doc long").repartition("key")
+    keys = source.mapInArrow(_keys(n, percent, largest, hot), "key long not null, doc long not null").repartition("key")
     groups = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last").select("key", "hub")
     # the least id of a group is a representative; other copies of its members end here
-    shared = written(keys.join(groups, "key").join(reps.select("doc"), "doc", "left_semi"), "fragments")
+    shared = written(keys.join(groups, "key").join(reps.select("doc"), "doc"), "fragments")
     links = _verified(shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), reps, source, n, percent, "1")
     for step in ("2", "3"):
         comp = connected_components(links)
