@@ -164,7 +164,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for length in levels[:-1]:
         rows = source if survivors is None else source.join(survivors.hint("shuffle_hash"), "doc")
         found = rows.mapInArrow(_emit(before, length, window), "h long, doc long, pos int")
-        repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        # written first: a join can only be split at a frequent window if each side comes straight from a shuffle
+        repeated = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), f"repeated-{length}")
         survivors = written(found.join(repeated, "h", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("survivors")), f"windows-{length}")
         before = length
     whole = source.join(survivors.hint("shuffle_hash"), "doc").mapInArrow(_emit(before, window, window), "h long, g int, doc long, pos int")
