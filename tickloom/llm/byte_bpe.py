@@ -32,8 +32,8 @@ from .shared import put, schema_with, slices
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 32
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 200_000
+CACHED_PIECES = 150_000
+CACHED_PAIRS = 50_000
 #: Characters from its start that decide on a piece besides its own: the longest contraction.
 LOOK = 3
 
@@ -165,6 +165,11 @@ class Codec:
                 return k + 1, n
         return None
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that lives on after its task keeps only the vocabulary."""
+        self.packed.clear()
+        self._stands.clear()
+
     # Whole texts.
 
     def encode(self, text: str) -> np.ndarray:
@@ -215,6 +220,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
             if decoded:
                 values["decoded"] = pa.array([codec.decode(x) for x in ids], pa.binary())
             yield put(batch, schema, **values)
+        codec.forget()
 
     return docs.mapInArrow(run, schema)
 

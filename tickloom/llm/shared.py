@@ -64,8 +64,11 @@ def put(batch: pa.RecordBatch, schema: T.StructType, **values: pa.Array) -> pa.R
     return pa.RecordBatch.from_arrays([values[f.name] if f.name in values else have[f.name] for f in schema.fields], names=schema.names)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about most_bytes of text (one long text may be a slice of its own)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about most_bytes of text (one long text may be a slice of its own).
+
+    A worker lives on after its task, so what Arrow holds in reserve is given back at the end.
+    """
     for batch in batches:
         lengths = batch.column(text)
         start = size = 0
@@ -76,6 +79,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2_000
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch, lengths
+    pa.default_memory_pool().release_unused()
 
 
 def _byte_lengths(column: pa.Array) -> list[int]:
