@@ -201,6 +201,70 @@ def test_stream_state_carries_over_batches(spark, tmp_path):
     assert [r.n for r in out] == [9, 20] and out[-1].ema == value
 
 
+def test_the_state_step_of_an_average_gets_chunks_not_ticks(spark, tmp_path, monkeypatch):
+    """Ticks of two symbols out of order; the state step would fail on more rows than chunks."""
+    n, schema = 30_000, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ticks = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.floor(F.col("id") / 3) * 400_000).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("event_type"), (F.col("id") * 7919 % 101).cast("double").alias("value"), F.lit(None).cast("string").alias("props"))
+    ticks.repartition(3, F.xxhash64("event_id")).write.parquet(str(tmp_path / "in"))
+    assert spark.read.parquet(str(tmp_path / "in")).schema == spark.createDataFrame([], schema).schema
+
+    class Bounded(ST.Ema):
+        def handleInputRows(self, key, rows, timer_values):
+            import pandas as pd
+
+            got = pd.concat(list(rows))
+            assert len(got) <= 20, f"{len(got)} rows of {key}"
+            yield from super().handleInputRows(key, iter([got]), timer_values)
+
+    monkeypatch.setattr(ST, "Ema", Bounded)
+    stream = ST.streaming_ema(ST.tick_stream(spark, str(tmp_path / "in")), 0.01)
+    got = {r.symbol: (r.ema, r.n) for r in ST.run_available(stream, "update", "chunks").collect()}
+    for symbol in "ab":
+        value, k = 0.0, 0
+        for i in range(n):
+            if (i % 3 == 0) == (symbol == "a"):
+                value, k = ST.next_ema(value, k, float(i * 7919 % 101), 0.01), k + 1
+        assert got[symbol] == (pytest.approx(value, rel=1e-9), k)
+
+
+def brute_signals(batches):
+    out, last = [], {}
+    for rows in batches:
+        for p, e, s in sorted(rows):
+            if p in last:
+                epoch, seq = last[p]
+                kind = "epoch_changed" if e != epoch else "duplicate" if s <= seq else "gap" if s > seq + 1 else None
+                if kind:
+                    out.append((p, e, s, kind))
+                seq = s if e != epoch else max(s, seq)
+            else:
+                seq = s
+            last[p] = (e, seq)
+    return sorted(out)
+
+
+def test_signals_of_a_hot_producer_over_batches(spark, tmp_path):
+    """Micro-batches with redelivered numbers, old epochs and chunks of numbers; no Python worker takes a producer's rows."""
+    import random
+
+    rng = random.Random(7)
+    span, top, src = ST.SEQ_SPAN, str(tmp_path / "top"), str(tmp_path / "in")
+    batches = [
+        [("p", "e1", s) for s in (1, 2, 2, 5, span - 1, span, span + 1, 5 * span)] + [("q", "e2", 7)],
+        [("p", "e1", s) for s in (3, 5, 6, span, 4 * span, 5 * span, 5 * span + 1, 7 * span)] + [("p", "e2", s) for s in (9, 1, 1)],
+        [("p", "e1", 4), ("p", "e2", 9), ("p", "e2", 10), ("q", "e1", 8), ("q", "e2", 7)],
+        [("p", "e2", 3), ("r", "e1", 1)],
+        *([(rng.choice("pqr"), rng.choice(["e2", "e3"]), rng.randrange(3 * span)) for _ in range(200)] for _ in range(2)),
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, ST.LAST).coalesce(1).write.mode("append").parquet(src)
+        out = ST.run_signals(spark.readStream.schema(ST.LAST).parquet(src), top)
+    assert sorted((r.producer, r.epoch, r.seq, r.signal) for r in out.collect()) == brute_signals(batches)
+    signals, last = ST.sequence_signals(spark.createDataFrame(batches[0], ST.LAST), spark.createDataFrame([], ST.LAST))
+    for df in (signals, last):
+        assert "Pandas" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Python" not in plan
+
+
 def test_no_clock_and_no_randomness_in_the_library():
     """Same inputs, same outputs: nothing reads the clock or draws unseeded numbers."""
     top = Path(__file__).resolve().parents[1] / "tickloom"

@@ -42,7 +42,7 @@ def streaming_ema(spark, sf_dir):
 def stream_signals(spark, sf_dir):
     t = ST.tick_stream(spark, f"{sf_dir}/events.parque[t]")
     s = t.select(F.col("user_id").cast("string").alias("producer"), F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd").alias("epoch"), F.col("id").alias("seq"))
-    return ST.run_available(ST.sequence_signals(s), "append", "signals").drop("batch")
+    return ST.run_signals(s, f"{shared_dir(spark)}/tickloom-signals-{uuid.uuid4().hex}").drop("batch")
 
 
 def envelopes(t):

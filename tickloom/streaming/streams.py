@@ -6,7 +6,9 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,12 @@ from tickloom.schemas import ENVELOPE, EVENTS
 from tickloom.session import shared_dir
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Off while a stream starts: what follows sorts ticks inside a micro-batch, which the check cannot tell from sorting a stream.
+OPERATION_CHECK = ("spark.sql.streaming.unsupportedOperationCheck", "false")
+#: Ticks of a chunk at most, and those that a chunk hands on one by one.
+CHUNK, FEW = 4096, 64
+#: Width of a chunk of sequence numbers.
+SEQ_SPAN = 1 << 16
 
 
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -37,8 +45,36 @@ def streaming_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minu
     return bars.select("symbol", F.col("window.start").cast("timestamp_ntz").alias("time"), "open", "high", "low", "close", "tick_volume")
 
 
+def _ema_chunks(alpha: float):
+    """Of ticks sorted by symbol and time, one row for each chunk of at most CHUNK ticks of a symbol's hour: how many they
+    are, the first price, their weighted sum, and up to FEW of them as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            symbol, hour = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("symbol", "hour"))
+            price = batch.column("price").to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((symbol[1:] != symbol[:-1]) | (hour[1:] != hour[:-1])) + 1
+            cuts = [0, *new.tolist(), batch.num_rows]
+            starts = np.concatenate([np.arange(s, e, CHUNK) for s, e in zip(cuts, cuts[1:], strict=False)])
+            ends = np.append(starts[1:], batch.num_rows)
+            prices = [price[s:e] for s, e in zip(starts, ends, strict=True)]
+            local = [float(alpha * x @ (1 - alpha) ** np.arange(len(x) - 1.0, -1.0, -1.0)) for x in prices]
+            first = batch.take(pa.array(starts))
+            yield pa.RecordBatch.from_arrays(
+                [first.column("symbol"), first.column("ts"), first.column("id"), pa.array(np.arange(part, part + len(starts))), pa.array(ends - starts), first.column("price"), pa.array(local, pa.float64()), pa.array([x if len(x) <= FEW else None for x in prices], pa.list_(pa.float64()))],
+                names=["symbol", "ts", "id", "part", "n", "first", "local", "prices"],
+            )
+            part += len(starts)
+
+    return run
+
+
 class Ema(StatefulProcessor):
-    """The exponential average of each symbol's prices; the state is its last value, and the number of prices so far."""
+    """The exponential average of each symbol's prices, from its chunks; the state is its last value, and the number of
+    prices so far."""
 
     def __init__(self, alpha: float):
         self.alpha = alpha
@@ -49,11 +85,16 @@ class Ema(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         state = self.last.get() if self.last.exists() else None
         value, n = (state[0], state[1]) if state else (0.0, 0)
-        ticks = pd.concat(list(rows)).dropna(subset=["price"]).sort_values(["ts", "id"])
-        for x in ticks["price"]:
-            value = next_ema(value, n, x, self.alpha)
-            n += 1
-        self.last.update((value, n))
+        chunks = pd.concat(list(rows)).sort_values(["ts", "id", "part"])
+        for size, first, local, prices in chunks[["n", "first", "local", "prices"]].itertuples(index=False):
+            if prices is None:
+                value = local + (1 - self.alpha) ** int(size) * (value if n else first)
+                n += int(size)
+                continue
+            for x in prices:
+                value = next_ema(value, n, float(x), self.alpha)
+                n += 1
+        self.last.update((float(value), n))
         yield pd.DataFrame({"symbol": [key[0]], "ema": [value], "n": [n]})
 
     def close(self) -> None:
@@ -66,38 +107,74 @@ def next_ema(value: float, n: int, x: float, alpha: float) -> float:
 
 
 def streaming_ema(ticks: DataFrame, alpha: float) -> DataFrame:
-    """(symbol, ema, n) after each micro-batch that has ticks of the symbol. Ticks must arrive in time order from batch to
-    batch; within one they are sorted."""
-    return ticks.groupBy("symbol").transformWithStateInPandas(Ema(alpha), "symbol string, ema double, n long", "Update", "None")
-
-
-class Sequences(StatefulProcessor):
-    """Signals of each producer's (epoch, seq): epoch_changed resets the sequence, gap has missing numbers, duplicate is an
-    old number again."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "epoch string, seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        state = self.last.get() if self.last.exists() else (None, None)
-        epoch, seq = state[0], state[1]
-        out = []
-        for e, s in pd.concat(list(rows)).sort_values(["epoch", "seq"])[["epoch", "seq"]].itertuples(index=False):
-            if epoch is not None:
-                kind = "epoch_changed" if e != epoch else "duplicate" if s <= seq else "gap" if s > seq + 1 else None
-                if kind:
-                    out.append((key[0], e, int(s), kind))
-            epoch, seq = e, int(s) if e != epoch else max(int(s), seq)
-        self.last.update((epoch, seq))
-        yield pd.DataFrame(out, columns=["producer", "epoch", "seq", "signal"])
-
-    def close(self) -> None:
-        pass
+    """(symbol, ema, n) after each micro-batch that has prices of the symbol. Ticks must arrive in time order from batch to
+    batch; within one they are sorted. Start it under rocks_state.
+
+    Tasks sort and sum the hours of a symbol, holding a chunk at a time; the state step takes a row a chunk."""
+    hours = ticks.where(F.col("price").isNotNull() & ~F.isnan("price")).select("symbol", "ts", "id", "price", F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour"))
+    hours = hours.withColumn("hour", F.coalesce("hour", F.lit(-(2**63))))
+    dealt = hours.repartition("symbol", "hour").sortWithinPartitions("symbol", "hour", F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
+    chunks = dealt.mapInArrow(_ema_chunks(alpha), "symbol string, ts timestamp, id long, part long, n long, first double, local double, prices array<double>")
+    return chunks.groupBy("symbol").transformWithStateInPandas(Ema(alpha), "symbol string, ema double, n long", "Update", "None")
+
+
+SIGNAL = "producer string, epoch string, seq long, signal string"
+LAST = "producer string, epoch string, seq long"
+
+
+def sequence_signals(rows: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signals of each producer's (epoch, seq) in a micro-batch: epoch_changed resets the sequence, gap has missing numbers,
+    duplicate is an old number again. rows: producer, epoch, seq, in order from batch to batch (within one they are
+    sorted); last: each producer's last (epoch, seq) so far. Gives the signals, and the last ones after the batch.
+
+    Numbers meet the ones before them in chunks of SEQ_SPAN numbers of an epoch; only a row a chunk is sorted by producer."""
+    rows = rows.withColumn("chunk", F.floor(F.col("seq") / SEQ_SPAN))
+    chunks = rows.groupBy("producer", "epoch", "chunk").agg(F.max("seq").alias("high"))
+    before = last.select(F.col("producer").alias("p"), F.col("epoch").alias("last_epoch"), F.col("seq").alias("last_seq"))
+    w = Window.partitionBy("producer").orderBy(F.asc_nulls_last("epoch"), F.asc_nulls_last("chunk"))
+    chunks = chunks.join(before, F.col("producer").eqNullSafe(F.col("p")), "left").withColumn("at", F.row_number().over(w))
+    # what stands before a chunk: the chunk before it, or the state
+    chunks = chunks.withColumns({"from_epoch": F.when(F.col("at") > 1, F.lag("epoch").over(w)).otherwise(F.col("last_epoch")), "from_seq": F.when(F.col("at") > 1, F.lag("high").over(w)).otherwise(F.col("last_seq"))})
+    # an epoch that goes on may still be below the state's number
+    going_on = F.col("last_epoch") == F.first("epoch").over(w)
+    held = F.when(going_on & F.col("epoch").eqNullSafe(F.col("last_epoch")), F.col("last_seq"))
+    chunks = written_batch(chunks.select("producer", "epoch", "chunk", "high", "from_epoch", F.greatest("from_seq", held).alias("from_seq"), held.alias("held")), "chunks")
+    side = chunks.select(*(F.col(c).alias(f"c_{c}") for c in ("producer", "epoch", "chunk")), "from_epoch", "from_seq", "held")
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in ("producer", "epoch", "chunk")]
+    own = Window.partitionBy("producer", "epoch", "chunk").orderBy("seq")
+    seen = rows.withColumns({"i": F.row_number().over(own), "prev": F.lag("seq").over(own)}).join(side, same)
+    inside = (F.col("i") > 1) | F.col("from_epoch").eqNullSafe(F.col("epoch"))
+    floor = F.when(F.col("i") > 1, F.greatest("prev", "held")).otherwise(F.col("from_seq"))
+    kind = F.when(~inside & F.col("from_epoch").isNotNull(), "epoch_changed").when(inside & (F.col("seq") <= floor), "duplicate").when(inside & (F.col("seq") > floor + 1), "gap")
+    signals = seen.select("producer", "epoch", "seq", kind.alias("signal")).where("signal IS NOT NULL")
+    rank = F.struct(F.col("epoch").isNull().alias("none"), "epoch", F.greatest("high", "held").alias("seq"))
+    now = chunks.groupBy("producer").agg(F.max(rank).alias("now"))
+    old = before.join(now, F.col("p").eqNullSafe(F.col("producer")), "left_anti").select(F.col("p").alias("producer"), F.col("last_epoch").alias("epoch"), F.col("last_seq").alias("seq"))
+    return signals, old.unionAll(now.select("producer", "now.epoch", "now.seq"))
+
+
+def written_batch(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/tickloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_signals(stream: DataFrame, top: str) -> DataFrame:
+    """Runs sequence_signals over all that is there of stream (producer, epoch, seq) and reads all signals in top so far.
+
+    A micro-batch reads the last numbers that the one before it wrote, so one that is done again gives the same."""
+    spark = stream.sparkSession
 
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        last = session.read.schema(LAST).parquet(f"{top}/last/batch={number - 1}") if number else session.createDataFrame([], LAST)
+        signals, now = sequence_signals(batch, last)
+        signals.write.mode("overwrite").parquet(f"{top}/out/batch={number}")
+        now.write.mode("overwrite").parquet(f"{top}/last/batch={number}")
 
-def sequence_signals(stream: DataFrame) -> DataFrame:
-    """stream: producer, epoch, seq. Rows of one producer must arrive in order from batch to batch."""
-    return stream.groupBy("producer").transformWithStateInPandas(Sequences(), "producer string, epoch string, seq long, signal string", "Append", "None")
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{SIGNAL}, batch int").parquet(f"{top}/out")
 
 
 def decode_envelopes(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -132,9 +209,12 @@ def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def rocks_state(spark: SparkSession):
-    before = spark.conf.get(ROCKS[0], None)
-    spark.conf.set(*ROCKS)
+    """Settings under which the streams of this module start."""
+    before = {k: spark.conf.get(k, None) for k, _ in (ROCKS, OPERATION_CHECK)}
+    for k, v in (ROCKS, OPERATION_CHECK):
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
