@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but
 the last return the columns of documents; n_chars follows the text. Null and empty texts and
-null ids are handled as the operators say: a null id is one document, and in rows that repeat
-an id the near-duplicate stage keeps the largest text.
+null ids are handled as the operators say. The near-duplicate stage takes each text of an id, or
+of the null id, as a document of its own; only rows that repeat both id and text become one.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.byte_bpe import bpe_encode
 from tickloom.llm.decontaminate import find_leaks
-from tickloom.llm.jaccard_join import jaccard_components
+from tickloom.llm.jaccard_join import jaccard_components, with_keys
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.quality import learn_quality, score_quality
-from tickloom.llm.shared import written
+from tickloom.llm.shared import id_key, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,10 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document of the smallest id of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
     n_rows, n_ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
     if n_rows != n_ids:
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        docs = docs.groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*").select(docs.columns)
+        columns, docs = docs.columns, with_keys(docs, "doc_id", "text")
+        groups = jaccard_components(docs, "key", n=5, percent=80).join(docs.select("key", "doc_id"), "key")
+        kept = groups.groupBy("component_id").agg(F.min(F.struct(id_key("doc_id").alias("doc_id"), "key")).alias("first")).select(F.col("first.key").alias("key"))
+        return docs.join(kept.hint("shuffle_hash"), "key", "left_semi").select(columns)
     groups = jaccard_components(docs, n=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")

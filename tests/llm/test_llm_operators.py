@@ -231,6 +231,14 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_links_every_text_of_an_id(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve", "apart from all other words")
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, b), (7, a), (7, ""), (7, None), (9, c), (9, "x y z u v"), (3, "X y z u  v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_components(df, n=4, percent=85).collect())
+    assert got == sorted([(-1, 4, -1), (-1, 2, -1), (-1, 2, -1), (7, 2, -1), (7, 4, -1), (7, 0, 7), (7, 0, 7), (9, 2, -1), (9, 2, 3), (3, 2, 3)])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80))
 def test_sketches_never_exceed_the_difference(a, b):

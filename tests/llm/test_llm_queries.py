@@ -61,3 +61,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.no_near_duplicates(spark, docs, SF).collect())
     groups = jaccard_components(docs).collect()
     assert kept == sorted({r.component_id for r in groups})
+
+
+def test_near_duplicate_stage_keeps_every_text_of_an_id(spark):
+    """A third of the ids null and some repeated: what is near nothing stays, one row of each group of copies too."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rows = [(None if k % 3 == 0 else k // 4, words(k), k) for k in range(40)]
+    rows += [(None, words(1), 100), (50, words(0), 101), (None, words(3), 102), (51, words(51), 103), (51, words(51) + " end", 104), (60, None, 105), (60, "", 106), (60, words(60), 107)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    out = corpus_pipeline.no_near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    want = {(i, t) for i, t, _ in rows[:40] if t != words(1)} | {(None, words(1)), (60, None), (60, ""), (60, words(60))}
+    assert len(kept) == len(want) + 1 and want < set(kept) and len({t for i, t in kept if i == 51}) == 1

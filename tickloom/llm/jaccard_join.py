@@ -33,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import id_key, partitions, runs, slices, written
+from .shared import NULL_ID, id_key, partitions, runs, slices, written
 from .words import Words, cut, mix
 
 GROWTH = 1.5
@@ -259,18 +259,44 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int, perc
     return written(near.join(left, "a").join(right, "b").mapInArrow(_verify(n, percent), "a long, b long"), f"links-{step}")
 
 
+def _id(key: str) -> Column:
+    return F.when(F.col(key) != F.lit(NULL_ID), F.col(key))
+
+
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The distinct (id, text) of docs, each with a `key` (long) that no other has; of rows that repeat both, the largest
+    of the other columns stays. The key is a hash, salted until none is shared."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    row = F.max(F.struct(*(f"`{c}`" for c in rest))).alias("__row") if rest else F.lit(None).alias("__row")
+    docs = written(docs.groupBy(f"`{id_col}`", f"`{text_col}`").agg(row), "documents")
+    # null and empty texts hash alike without the flags
+    parts = [x for c in (id_col, text_col) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    for salt in range(16):
+        keyed = docs.withColumn("__key", F.xxhash64(F.lit(salt), *parts))
+        n, n_keys, least = keyed.agg(F.count("*"), F.count_distinct("__key"), F.min("__key")).first()
+        if n == n_keys and least != NULL_ID:
+            return keyed.select(F.col("__key").alias("key"), f"`{id_col}`", f"`{text_col}`", *(F.col(f"__row.`{c}`") for c in rest))
+    raise RuntimeError("no salt gives each document a key of its own")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each id of docs: the size of its set of distinct n-word shingles, and the
+    """(doc_id, n_shingles, component_id) for each document of docs: the size of its set of distinct n-word shingles, and the
     smallest id that it reaches over links of 100 * intersection >= percent * union.
 
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Texts without words (null too) have no
-    shingles and link with nothing. Rows that repeat an id are one document, with the largest of
-    their texts; null ids are one document before all others, and its id in the result is null.
+    shingles and link with nothing. Rows that repeat both id and text are one document; each other
+    text of an id is a document, and a row of the result, of its own. Null ids come before all
+    others, and are null in the result.
     """
     source = docs.select(id_key(id_col).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     n_rows, n_ids = source.agg(F.count("*"), F.count_distinct("doc")).first()
     if n_rows != n_ids:
-        source = source.groupBy("doc").agg(F.max("text").alias("text"))
+        keyed = with_keys(source.withColumnRenamed("doc", "id"), "id", "text")
+        groups = written(jaccard_components(keyed, "key", "text", n, percent).join(keyed.select("key", "id"), "key"), "groups")
+        least = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min("id").alias("least"))
+        linked = groups.join(least, "component_id").select("id", "n_shingles", "least")
+        out = groups.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("least")).unionAll(linked)
+        return out.select(_id("id").alias(id_col), "n_shingles", _id("least").alias("component_id"))
     described = written(source.mapInArrow(_describe(n), "doc long, n_shingles long, s1 long, s2 long, sketch binary, hot boolean"), "sets")
     sets = described.where("not hot").select("doc", "n_shingles", "s1", "s2")
     classes = written(sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
@@ -300,8 +326,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = written(links.union(_verified(pairs, reps, source, n, percent, step)), "links")
     comp = connected_components(links).withColumnRenamed("node", "rep")
     of_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    id_ = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
-    return sets.join(of_class, ["s1", "s2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))).select(id_("doc").alias(id_col), "n_shingles", id_("component").alias("component_id"))
+    return sets.join(of_class, ["s1", "s2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))).select(_id("doc").alias(id_col), "n_shingles", _id("component").alias("component_id"))
 
 
 def _apart(members: DataFrame, percent: int) -> DataFrame:
