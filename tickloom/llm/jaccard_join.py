@@ -20,8 +20,8 @@ Equal sets collapse to the smallest id first. In a group of sets with one fragme
 common each meets only the group's first (a link to it is all that components need). A
 pair is dropped if its sizes, or the bits in which two parity sketches differ (each stands
 for a shingle of only one set), exceed what the threshold allows; then exact overlaps are
-counted, each fragment's partial overlap on its own, summed per pair, stopped once the rest
-cannot reach the threshold. Groups that the links have not made one component then meet
+counted within the pair's task, fragment by fragment, stopped once the rest cannot reach the
+threshold. Groups that the links have not made one component then meet
 another member, drawn by hash for each fragment. What is still apart after that is compared
 across components, block by block on sketches, and only pairs that these let link become
 rows; so no link that joins two components is missed.
