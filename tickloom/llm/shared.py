@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -12,45 +12,82 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import shared_dir
+
 #: Rows with a null id count as one document that sorts before all others.
 NULL_ID = -(2**63)
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    conf = spark.sparkContext.getConf()
-    top = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not top:
-        if not conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = _own.setdefault("dir", "") or _own.update(dir=tempfile.mkdtemp(prefix="spark-")) or _own["dir"]
-    return top.rstrip("/")
+class _CleanUp:
+    """Shuffle files of a write go when it is over. Writes of several threads share the setting: the first one sets it,
+    the last one puts it back."""
 
+    def __init__(self):
+        self.lock, self.users, self.before = threading.Lock(), {}, {}
 
-_own: dict[str, str] = {}
+    def enter(self, spark: SparkSession) -> None:
+        key = spark.sparkContext.applicationId, id(spark._jsparkSession)
+        with self.lock:
+            if not self.users.get(key):
+                self.before[key] = spark.conf.get(CLEANUP, "false")
+                spark.conf.set(CLEANUP, "true")
+            self.users[key] = self.users.get(key, 0) + 1
 
+    def leave(self, spark: SparkSession) -> None:
+        key = spark.sparkContext.applicationId, id(spark._jsparkSession)
+        with self.lock:
+            self.users[key] -= 1
+            if not self.users[key]:
+                spark.conf.set(CLEANUP, self.before.pop(key))
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing.
 
-    The write's own shuffle files go when it is over.
-    """
+_clean_up = _CleanUp()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    _clean_up.enter(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _clean_up.leave(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a table that written() gave and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with a number where df has a column of that name (in any case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        k = 0
+        while (own := f"{name}_{k}" if k else name).lower() in have:
+            k += 1
+        have.add(own.lower())
+        out.append(own)
+    return out
 
 
 def id_key(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(NULL_ID))
 
 
+def sample_window(text: Column, by: Column, chars: int) -> Column:
+    """The text, or of one longer than chars a stretch of so many characters, drawn by a hash of by."""
+    start = F.pmod(F.xxhash64(by), F.length(text) - chars + 1).cast("int") + 1
+    return F.when(F.length(text) <= chars, text).otherwise(F.substring(text, start, F.lit(chars)))
+
+
 def schema_with(df: DataFrame, **added: T.DataType) -> T.StructType:
     """df's schema, with added columns at the end; a clashing old column gives way."""
     lower = {k.lower() for k in added}
