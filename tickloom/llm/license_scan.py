@@ -1,155 +1,131 @@
 """License scans over a positional index of rare licence words, in DataFrame functions only.
 
-Templates are short licence notices, each with a mandatory key phrase; base phrases are
-templates of their own. The words of all templates are counted over the documents, and each
-template's rarest ones (highest IDF) are its postings: (word, offset). A file keeps only the
-positions of posted words. Its highest-IDF word of a template fetches the template's starts
-(position less offset), starts are intersected with those of the other posted words that the
-file has, and what is left is verified: the key phrase must stand at its place, and the score
-is the IDF share of the template's words that stand at theirs.
-
-Everything happens within a row, so nothing is shuffled but the counts of the licence words.
+Templates are licence notices, each with a mandatory key phrase; base phrases are templates of
+their own. All of them are rows of small tables, so the plan is the same for ten or a thousand.
+
+1. One pass splits the texts and writes, for each file, where words of templates stand.
+2. These words are counted over all files. The rarest (highest IDF) words of each template's
+   key phrase are its postings: (word, template, offset). The rarest of all is its anchor.
+3. A file's anchors look up templates; one stays if the file has all words of its key phrase.
+   The file's places of posted words, less their offsets, are starts, and a start at which
+   every posting of the template agrees goes on.
+4. Template words meet the file's places in a join by (file, place, word): a start is verified
+   if the whole key phrase stands there, and its score is the IDF share of the template's
+   words that stand at theirs.
+
+Only files that an anchor looked up take part in shuffles, with their places of template words.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES, Template
+from .shared import unused, written
+
 #: Phrases and their labels.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    text: str
-    key: str
-
-
-TEMPLATES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    Template("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
-    Template("mit-notice", "released under the mit license", "under the mit license"),
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-)
 POSTED = 3
 LABEL_SCORE = 0.8
+#: Template words that are sent to every task (some 50 bytes each); more are joined.
+BROADCAST_WORDS = 200_000
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def license_words(text: Column) -> Column:
     low = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(low, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
-
-
-def _array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def rarity(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, float]:
-    """IDF of each word of a fixed vocabulary over all documents: ln((1 + documents) / (1 + documents with it))."""
-    present = docs.select(F.explode(F.array_intersect(license_words(F.col(f"`{text_col}`")), _array(vocabulary))).alias("w"))
-    n, counts = docs.count(), dict(present.groupBy("w").count().collect())  # a row for each word of the vocabulary at most
-    return {w: math.log((1 + n) / (1 + counts.get(w, 0))) for w in vocabulary}
-
-
-def _posted(words: list[str], idf: dict[str, float]) -> list[str]:
-    return sorted(set(words), key=lambda w: (-idf[w], w))[:POSTED]
-
-
-def _of(hits: Column, word: str) -> Column:
-    return F.filter(hits, lambda h: h["w"] == word)
-
-
-def _standing(words: Column, starts: Column, phrase: list[str]) -> Column:
-    """The starts at which the whole phrase stands."""
-    return F.filter(starts, lambda s: F.when(s >= 0, F.slice(words, s + 1, F.lit(len(phrase))) == _array(phrase)).otherwise(False))
-
-
-def _starts(hits: Column, words: list[str], posted: list[str]) -> Column:
-    """Where the template can start: by the file's highest-IDF posted word, then by those of the others that agree."""
-    def by(word: str) -> Column:
-        offsets = _array([i for i, w in enumerate(words) if w == word])
-        return F.array_distinct(F.flatten(F.transform(_of(hits, word), lambda h: F.transform(offsets, lambda o: h["p"] - o))))
-
-    sets = [by(w) for w in posted]
-    chosen = sets[-1]
-    for i in range(len(sets) - 2, -1, -1):  # the rarest word that the file has
-        chosen = F.when(F.size(sets[i]) > 0, sets[i]).otherwise(chosen)
-    narrowed = chosen
-    for s in sets:  # another word narrows the starts if it agrees with one of them
-        both = F.array_intersect(narrowed, s)
-        narrowed = F.when(F.size(both) > 0, both).otherwise(narrowed)
-    return narrowed
-
-
-def _share(words: Column, start: Column, template: list[str], idf: dict[str, float]) -> Column:
-    total = sum(idf[w] for w in template) or 1.0
-    parts = F.array(*[F.when((start + i >= 0) & (F.get(words, start + i) == w), F.lit(idf[w] / total)).otherwise(F.lit(0.0)) for i, w in enumerate(template)])
-    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return F.regexp_extract_all(low, F.lit(f"({_WORD})"), F.lit(1))
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(_WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
+def key_place(template: Template) -> int:
+    """Where the key phrase starts among the template's words."""
+    words, key = words_of(template.text), words_of(template.key)
+    for i in range(len(words) - len(key) + 1):
+        if key and words[i : i + len(key)] == key:
+            return i
+    raise ValueError(f"the key phrase of {template.label} must stand in its text")
+
+
+def rarity(n_files: int, n_with: int) -> float:
+    """IDF of a word: more than zero even if every file has it."""
+    return math.log(1 + n_files / (1 + n_with))
+
+
+def _tables(files: DataFrame, templates: list[Template]) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """anchors (w, template, needed, posted), postings (w, template, offset, n_postings), words (template, w, offset, weight,
+    in_key, n_key, label, base), and the anchor words. Offsets count from the start of the key phrase."""
+    spark, n = files.sparkSession, files.count()
+    counts = dict(files.select(F.explode(F.array_distinct("places.w")).alias("w")).groupBy("w").count().collect())  # a row for each template word at most
+    anchors, postings, rows = [], [], []
+    for t, template in enumerate(templates):
+        words, key, at = words_of(template.text), words_of(template.key), key_place(template)
+        idf = {w: rarity(n, counts.get(w, 0)) for w in words}
+        posted = sorted(set(key), key=lambda w: (-idf[w], w))[:POSTED]  # noqa: B023
+        anchors.append((posted[0], t, sorted(set(key)), posted))
+        own = [(w, i) for i, w in enumerate(key) if w in posted]
+        postings += [(w, t, i, len(own)) for w, i in own]
+        total = sum(idf[w] for w in words)
+        base = t < len(BASE_PHRASES)
+        rows += [(t, w, i - at, idf[w] / total, at <= i < at + len(key), len(key), template.label, base) for i, w in enumerate(words)]
+    small = F.broadcast if len(rows) <= BROADCAST_WORDS else lambda df: df
+    return (
+        small(spark.createDataFrame(anchors, "w string, template int, needed array<string>, posted array<string>")),
+        small(spark.createDataFrame(postings, "w string, template int, offset int, n_postings int")),
+        small(spark.createDataFrame(rows, "template int, w string, offset int, weight double, in_key boolean, n_key int, label string, base boolean")),
+        sorted({w for w, *_ in anchors}),
+    )
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score.
+def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, keep_text: bool = True) -> DataFrame:
+    """docs (without keep_text: but for its text) with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places where a base phrase's words stand one after another; first_word and
     last_word are the least and largest of them (null without any). base_labels are those phrases'
     labels; labels also have those of templates with a verified key phrase and a score of
     LABEL_SCORE or more. score is the best template's, from 0 to 1. Null and empty texts have no
-    words, no labels and score 0. Older columns of these names give way.
+    words, no labels and score 0. Older columns of these names give way. Repeated rows are each
+    answered.
     """
-    plain = {t: t.text.split() for t in templates}
-    phrases = {label: p.split() for p, label in BASE_PHRASES.items()}
-    vocabulary = sorted({w for ws in (*plain.values(), *phrases.values()) for w in ws})
-    idf = rarity(docs, text_col, vocabulary)
-    anchor = {label: _posted(ws, idf)[0] for label, ws in phrases.items()}
-    # A template is looked up by the rarest words of its key phrase: without that phrase it cannot be verified.
-    posted = {t: _posted(t.key.split(), idf) for t in templates}
-    indexed = sorted({*anchor.values(), *(w for ws in posted.values() for w in ws)})
-
-    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    out = docs.drop(*[c for c in docs.columns if c.lower() in names and c != text_col])
-    out = out.withColumn("__w", license_words(F.col(f"`{text_col}`")))
-    placed = F.transform("__w", lambda w, i: F.when(w.isin(indexed), F.struct(w.alias("w"), i.alias("p"))))
-    out = out.withColumn("__hits", F.array_compact(placed))
-    w, hits = F.col("__w"), F.col("__hits")
-    base = {}
-    for label, phrase in phrases.items():
-        offset = phrase.index(anchor[label])
-        base[label] = _standing(w, F.transform(_of(hits, anchor[label]), lambda h: h["p"] - F.lit(offset)), phrase)  # noqa: B023
-    found = F.array(*[F.struct(F.lit(k).alias("label"), v.alias("starts")) for k, v in base.items()])
-    scores = []
-    for t in templates:
-        key, words = t.key.split(), plain[t]
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        good = _standing(w, _starts(hits, key, posted[t]), key)
-        best = F.coalesce(F.array_max(F.transform(good, lambda s: _share(w, s - F.lit(at), words, idf))), F.lit(0.0))  # noqa: B023
-        scores.append(F.struct(F.lit(t.label).alias("label"), best.alias("score")))
-    none = F.size(hits) == 0
-    out = out.withColumn("__base", F.when(~none, found)).withColumn("__scores", F.when(~none, F.array(*scores)))
-    starts = F.coalesce(F.flatten(F.col("__base.starts")), F.array().cast("array<int>"))
-    base_labels = F.coalesce(F.transform(F.filter("__base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"]), F.array().cast("array<string>"))
-    more = F.coalesce(F.transform(F.filter("__scores", lambda s: s["score"] >= LABEL_SCORE), lambda s: s["label"]), F.array().cast("array<string>"))
-    kept = [F.col(f"`{c}`") for c in out.columns if not c.startswith("__")]
-    return out.select(
-        *kept,
-        F.size(w).cast("long").alias("n_words"),
-        F.size(starts).cast("long").alias("n_base"),
-        F.array_min(starts).cast("long").alias("first_word"),
-        F.array_max(starts).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, more))), ",").alias("labels"),
-        F.least(F.lit(1.0), F.coalesce(F.array_max(F.col("__scores.score")), F.lit(0.0))).alias("score"),
+    every = [*(Template(label, phrase, phrase) for phrase, label in BASE_PHRASES.items()), *templates]
+    vocabulary = sorted({w for t in every for w in words_of(t.text)})
+    gone = {c for c in docs.columns if c.lower() in RESULTS and c != text_col} | (set() if keep_text else {text_col})
+    kept = [c for c in docs.columns if c not in gone]
+    row, words = unused(docs, "row", "words")
+    placed = F.array_compact(F.transform(F.col(words), lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("p")))))
+    names = {c: f"c{k}" for k, c in enumerate(kept)}  # so that none of docs' names matters below
+    files = docs.withColumn(words, license_words(F.col(f"`{text_col}`"))).withColumn(row, F.monotonically_increasing_id())
+    files = files.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), F.col(row).alias("row"), F.size(words).cast("long").alias("n_words"), placed.alias("places"))
+    files = written(files, "licence-words")  # row ids are fixed from here on
+
+    anchors, postings, template_words, anchor_words = _tables(files, every)
+    places = files.select("row", "places").withColumn("w", F.explode(F.filter(F.array_distinct("places.w"), lambda w: w.isin(anchor_words))))
+    fetched = places.join(anchors, "w").where(F.size(F.array_except("needed", "places.w")) == 0).select("row", "template", "posted", "places")
+    fetched = written(fetched, "licence-candidates")
+    hits = fetched.select("row", "template", F.explode(F.filter("places", lambda h: F.array_contains("posted", h["w"]))).alias("h")).select("row", "template", "h.w", "h.p")
+    starts = hits.join(postings, ["template", "w"]).groupBy("row", "template", (F.col("p") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"), F.first("n_postings").alias("n_postings"))
+    starts = starts.where("n = n_postings and start >= 0").select("row", "template", "start")
+    expected = starts.join(template_words, "template").withColumn("p", F.col("start") + F.col("offset"))
+    standing = fetched.select("row", "places").dropDuplicates(["row"]).select("row", F.explode("places").alias("h")).select("row", "h.w", "h.p")
+    met = expected.join(standing, ["row", "p", "w"]).groupBy("row", "template", "start").agg(
+        F.sum("weight").alias("share"), F.count_if("in_key").alias("key_words"), F.first("n_key").alias("n_key"), F.first("label").alias("label"), F.first("base").alias("base")
     )
+    good = met.where("key_words = n_key")
+    place, labelled = F.when(F.col("base"), F.col("start")), F.col("base") | (F.col("share") >= LABEL_SCORE - 1e-9)
+    joined = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
+    found = good.groupBy("row").agg(
+        F.count(place).alias("n_base"), F.min(place).cast("long").alias("first_word"), F.max(place).cast("long").alias("last_word"),
+        joined(F.col("base")).alias("base_labels"), joined(labelled).alias("labels"), F.least(F.max(F.when(~F.col("base"), F.col("share"))), F.lit(1.0)).alias("score"),
+    )
+    none = {"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}
+    out = files.drop("places").join(written(found, "licences"), "row", "left")
+    return out.select(*(F.col(a).alias(c) for c, a in names.items()), *(F.coalesce(c, F.lit(none[c])).alias(c) if c in none else F.col(c) for c in RESULTS))
