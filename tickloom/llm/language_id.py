@@ -3,9 +3,10 @@
 Each word is scored for each language by features with learned weights: the word itself
 (lexicon), its first and last bytes with the word border (affixes), and its byte n-grams.
 Learned transitions score neighbouring words' languages. Forward-backward over chains of
-CHAIN consecutive words gives each word's probabilities, so in code-switched text every
-stretch is labelled on its own; a text's language is the one with the largest share of
-probability over all its words.
+consecutive words gives each word's probabilities, so in code-switched text every stretch is
+labelled on its own. A text's chains overlap: each labels CHAIN words and sees CONTEXT more on
+either side, beyond which a word hardly weighs. A text's language is the one with the largest
+share of probability over all its words.
 
 Learning takes a bounded sample of texts of each language to the driver and mixes stretches
 of them into code-switched chains. Labelling is one pass over the documents without a
@@ -21,25 +22,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import fold
-from .shared import put, schema_with, slices
+from .shared import put, sample_window, schema_with, slices
 from .words import Words, cut, mix
 
-CHAIN = 64
+CHAIN, CONTEXT = 64, 8
 SLOTS = 1 << 18
-#: The learning sample: texts of each language, and the longest taken.
-SAMPLE_PER_LANGUAGE = 250
-SAMPLE_BYTES = 10_000
-MOST_LANGUAGES = 200
+#: Languages that get so many slots; with more of them, slots are fewer, so that a model's size stays.
+FULL_SIZE_LANGUAGES = 200
+#: The learning sample: texts of each language, texts in all, and characters of each (of longer texts a stretch).
+SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS, SAMPLE_CHARS = 250, 50_000, 10_000
 EPOCHS, BATCH, RATE = 2, 64, 0.3
 _LETTER = regex.compile(r"\p{L}")
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def slots_for(languages: int) -> int:
+    return SLOTS >> max(0, (languages - 1) // FULL_SIZE_LANGUAGES).bit_length()
+
+
+def word_features(words: list[bytes], n_slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """Feature slots of all words in one array, and where each word's start: n-grams of 2 and 3 bytes (those at the
     ends hold the border, so they are short affixes), the 4 bytes at either end, and the whole word."""
     data = np.frombuffer(b"\0\0\0" + b"".join(w + b"\0\0\0" for w in words), dtype=np.uint8).astype(np.uint64)
@@ -60,7 +65,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gram[first[1:] - 2] = suf | np.uint64(3 << 60)
     whole = np.array([hash_bytes(w) for w in words], dtype=np.uint64)
     gram[first[1:] - 1] = whole
-    return (mix(gram) & np.uint64(SLOTS - 1)).astype(np.int64), first[:-1]
+    return (mix(gram) & np.uint64(n_slots - 1)).astype(np.int64), first[:-1]
 
 
 def hash_bytes(word: bytes) -> int:
@@ -72,7 +77,7 @@ def hash_bytes(word: bytes) -> int:
 @dataclass
 class Chain:
     languages: list[str]
-    weights: np.ndarray  # SLOTS x languages
+    weights: np.ndarray  # slots x languages
     moves: np.ndarray  # from x to
     start: np.ndarray
 
@@ -102,35 +107,37 @@ class Chain:
         return p, (a, b, e, move, inside, keep)
 
 
-def _slots_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slots_of(words: Words, n_slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature slots of the distinct words, where each starts, and which distinct word stands at each place."""
     _, one, which = np.unique(words.hashes, return_index=True, return_inverse=True)
     data = words.data.tobytes()
-    slots, first = word_features([data[words.starts[i] : words.ends[i]] for i in one]) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    slots, first = word_features([data[words.starts[i] : words.ends[i]] for i in one], n_slots) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return slots, first, which
 
 
-def _chains(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each chain: texts cut every CHAIN words."""
+def _chains(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each chain: the first and the end of the words that it labels, and of those that it sees."""
     counts = words.counts
     per = -(-counts // CHAIN)
     row = np.repeat(np.arange(len(counts)), per)
     k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    return words.first[row] + k * CHAIN, np.minimum(CHAIN, counts[row] - k * CHAIN)
+    start = words.first[row] + k * CHAIN
+    end = np.minimum(start + CHAIN, words.first[row + 1])
+    return start, end, np.maximum(start - CONTEXT, words.first[row]), np.minimum(end + CONTEXT, words.first[row + 1])
 
 
 def label_words(model: Chain, words: Words) -> np.ndarray:
     """Each word's probabilities of the languages."""
-    slots, first, which = _slots_of(words)
+    slots, first, which = _slots_of(words, len(model.weights))
     scores = model.emissions(slots, first)
-    start, length = _chains(words)
     out = np.empty((len(words.starts), len(model.languages)))
-    for k in range(0, len(start), 4096):
-        s, n = start[k : k + 4096], length[k : k + 4096]
-        at = np.minimum(s[:, None] + np.arange(CHAIN)[None, :], len(which) - 1)
-        p, rest = model.forward_backward(scores[which[at]], n)
-        inside = rest[4]
-        out[at[inside]] = p[inside]
+    chains = _chains(words)
+    for k in range(0, len(chains[0]), 4096):
+        start, end, low, high = (c[k : k + 4096, None] for c in chains)
+        at = low + np.arange(CHAIN + 2 * CONTEXT)[None, :]
+        p, _ = model.forward_backward(scores[which[np.minimum(at, len(which) - 1)]], (high - low)[:, 0])
+        own = (at >= start) & (at < end)
+        out[at[own]] = p[own]
     return out
 
 
@@ -138,11 +145,12 @@ def learn(texts: list[bytes], languages: list[str], seed: int = 1) -> Chain:
     """Fits the field by stochastic gradient ascent (AdaGrad) on code-switched chains mixed from the texts."""
     names = sorted(set(languages))
     m, rng = len(names), np.random.default_rng(seed)
-    model = Chain(names, np.zeros((SLOTS, m)), np.zeros((m, m)), np.zeros(m))
+    n_slots = slots_for(m)
+    model = Chain(names, np.zeros((n_slots, m)), np.zeros((m, m)), np.zeros(m))
     if m < 2:
         return model
     words = cut(pa.array(texts, pa.binary()).cast(pa.string()), lower=True)
-    slots, first, which = _slots_of(words)
+    slots, first, which = _slots_of(words, n_slots)
     ends = np.append(first[1:], len(slots))
     label = np.array([names.index(x) for x in languages])[words.rows()]
     # stretches of 4 to 24 words, in random order, make the chains
@@ -151,7 +159,7 @@ def learn(texts: list[bytes], languages: list[str], seed: int = 1) -> Chain:
         cuts.append(at)
         at += int(rng.integers(4, 25))
     pieces = [np.arange(s, e) for s, e in zip(cuts, [*cuts[1:], len(which)], strict=True)]
-    seen_w, seen_m, seen_s = np.full((SLOTS, m), 1e-3), np.full((m, m), 1e-3), np.full(m, 1e-3)
+    seen_w, seen_m, seen_s = np.full((n_slots, m), 1e-3), np.full((m, m), 1e-3), np.full(m, 1e-3)
     for _ in range(EPOCHS):
         order = np.concatenate([pieces[i] for i in rng.permutation(len(pieces))])
         order = order[: max(CHAIN, len(order) // CHAIN * CHAIN)]
@@ -193,26 +201,26 @@ def learn(texts: list[bytes], languages: list[str], seed: int = 1) -> Chain:
     return model
 
 
-def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Chain:
-    """Learns from up to per_language texts of each language, the first by a hash of their ids, outside the held-out third.
+def learn_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    per_language: int = SAMPLE_PER_LANGUAGE, most_texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS,
+) -> Chain:
+    """Learns from up to per_language rows of each language, the first by a hash of their ids, outside the held-out third,
+    and of a text longer than chars from a stretch of so many characters.
 
-    Rows without id, language or text teach nothing, nor do texts of over SAMPLE_BYTES bytes. Over MOST_LANGUAGES
-    languages raise ValueError."""
+    If languages are so many that this makes over most_texts rows, each gives fewer. Rows without id, language or text
+    teach nothing. The rows are drawn in one pass over ids and languages, their texts read in another."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold("id") != 1))
-    names = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    picked = None
-    for name in names:
-        own = rows.where((F.col("lang") == name) & (F.octet_length("text") <= SAMPLE_BYTES)).select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(per_language)
-        picked = own if picked is None else picked.union(own)
-    if picked is None:
+    ranked = rows.select("id", "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    # at most per_language rows of a language leave each partition; the first of all languages go before the second
+    picked = ranked.where(F.col("rank") <= per_language).orderBy("rank", F.xxhash64("id"), "id", "lang").limit(most_texts).select("id", "lang").collect()
+    if not picked:
         return learn([], [])
-    ids = spark.createDataFrame([tuple(r) for r in picked.distinct().collect()], "id long, lang string")  # per_language rows a language at most
-    sample = rows.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), ["id", "lang"]).groupBy("id", "lang").agg(F.max("text").alias("text")).collect()
-    sample = sorted((r["id"], r["lang"], r["text"]) for r in sample)
+    ids = spark.createDataFrame(sorted({tuple(r) for r in picked}), "id long, lang string")
+    drawn = rows.join(F.broadcast(ids), ["id", "lang"]).select("id", "lang", sample_window(F.col("text"), F.col("id"), chars).alias("text"))
+    sample = sorted(map(tuple, drawn.groupBy("id", "lang").agg(F.max("text").alias("text")).dropna().collect()))
     return learn([t.encode() for _, _, t in sample], [name for _, name, _ in sample])
 
 

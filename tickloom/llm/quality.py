@@ -22,15 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import put, schema_with, slices
+from .shared import put, sample_window, schema_with, slices
 from .words import text_bytes
 
 CHUNK, STRIDE = 512, 448
 TAPS, FILTERS = 3, 16
 WIDTH = 2 * TAPS
-#: The learning sample: texts of each label, and the longest taken (longer ones are scored all the same).
-SAMPLE_PER_LABEL = 700
-SAMPLE_BYTES = 30_000
+#: The learning sample: texts of each label, and characters of each (of longer texts a stretch; they are scored whole).
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 700, 30_000
 EPOCHS, BATCH, RATE = 8, 32, 0.02
 _BLOCK = 128 * STRIDE
 
@@ -153,19 +152,24 @@ def learn(texts: list[bytes], labels: list[int], seed: int = 1) -> Network:
     return net
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> Network:
-    """Learns from up to per_label texts of each label (0 and 1), the first by a hash of their ids, outside the held-out
-    third. Rows without id, label or text teach nothing."""
+def learn_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS,
+) -> Network:
+    """Learns from up to per_label documents of each label (0 and 1), the first by a hash of their ids, outside the held-out
+    third, and of a text longer than chars from a stretch of so many characters. Rows without id, label or text teach
+    nothing."""
     spark = docs.sparkSession
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where("y in (0, 1)").groupBy("id").agg(F.min("y").alias("y")).where(fold("id") != 1)
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().where("y in (0, 1)").groupBy("id").agg(F.min("y").alias("y")).where(fold("id") != 1)
     picked = None
     for y in (0, 1):
         own = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label)
         picked = own if picked is None else picked.union(own)
     ids = spark.createDataFrame(picked.collect(), "id long, y int")  # 2 * per_label rows at most
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = sorted(texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text")).collect())
-    return learn([r["text"].encode() for r in rows], [r["y"] for r in rows])
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(ids), "id")
+    texts = texts.select("id", "y", sample_window(F.col("text"), F.col("id"), chars).alias("text")).groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
+    rows = sorted(map(tuple, texts.dropna().collect()))
+    return learn([t.encode() for _, _, t in rows], [y for _, y, _ in rows])
 
 
 def score_quality(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
