@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import perfect_hash
-from .shared import id_key, put, schema_with, slices, written
+from .shared import id_key, put, schema_with, slices, unused, written
 from .words import SPACES
 
 SHARD_KEYS = 32_768
@@ -108,11 +108,11 @@ def _probe(min_docs: int):
     return run
 
 
-def _rewrite(text_col: str, min_chars: int, schema: T.StructType):
+def _rewrite(text_col: str, drops_col: str, min_chars: int, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             kept, n_lines, n_dropped = [], [], []
-            for text, drops in zip(batch.column(text_col).to_pylist(), batch.column("__drops").to_pylist(), strict=True):
+            for text, drops in zip(batch.column(text_col).to_pylist(), batch.column(drops_col).to_pylist(), strict=True):
                 lines = (text or "").encode().split(b"\n")
                 stay = lines
                 if drops:
@@ -138,6 +138,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines.groupBy("h", "f", "doc").agg(F.lit(1).alias("one")).groupBy("h", "f").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs),
         "repeated-lines",
     )
+    doc, gone = unused(docs, "doc", "drops")
     n_shards = max(256, -(-repeated.count() // SHARD_KEYS))
     shard = F.pmod(F.xxhash64("h"), F.lit(n_shards)).cast("int").alias("shard")
     index = written(repeated.select("*", shard).groupBy("shard").applyInPandas(_build, _SHARD), "line-index")
@@ -149,9 +150,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     drops = (
         probes.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(_probe(min_docs), "doc long, h long, f long")
-        .groupBy("doc").agg(F.collect_list(F.struct("h", "f")).alias("__drops"))
+        .groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("h", "f")).alias(gone))
     )
     schema = schema_with(docs, n_lines=T.LongType(), n_dropped=T.LongType())
     clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
-    joined = docs.drop(*clash).withColumn("__doc", id_key(id_col)).join(drops.withColumnRenamed("doc", "__doc").hint("shuffle_hash"), "__doc", "left").drop("__doc")
-    return joined.mapInArrow(_rewrite(text_col, min_chars, schema), schema)
+    joined = docs.drop(*clash).withColumn(doc, id_key(id_col)).join(drops.hint("shuffle_hash"), doc, "left").drop(doc)
+    return joined.mapInArrow(_rewrite(text_col, gone, min_chars, schema), schema)

@@ -15,7 +15,7 @@ from .jaccard_join import jaccard_components
 from .language_id import learn_languages, predict_language
 from .license_scan import scan_licenses
 from .line_dedup import line_dedup
-
+from .oracle_sql import ORACLE_SQL
 from .quality import fold, learn_quality, score_quality
 from .substring_dedup import substring_dedup
 from .url_filter import DEFAULT_RULES, filter_urls, site_rule
@@ -42,7 +42,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).withColumn("score", F.round("score", 6))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,73 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op5_jaccard_join": """
-        WITH RECURSIVE texts AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
-        ), shingles AS (
-            SELECT DISTINCT doc_id, ws[pos:pos + 3] AS shingle FROM texts, unnest(range(1, greatest(len(ws) - 2, 2))) AS p(pos) WHERE len(ws) > 0
-        ), sizes AS (
-            SELECT t.doc_id, count(shingle) AS n FROM texts t LEFT JOIN shingles s ON s.doc_id = t.doc_id GROUP BY t.doc_id
-        ), pairs AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
-        ), links AS (
-            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)
-        ), reach(doc_id, root) AS (
-            SELECT doc_id, doc_id FROM texts UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id
-        )
-        SELECT s.doc_id, s.n AS n_shingles, min(root) AS component_id FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
-    """,
-    "op3_substring_dedup": """
-        WITH texts AS (
-            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
-        ), starts AS (
-            SELECT doc_id, pos, row_number() OVER (PARTITION BY ws[pos:pos + 19] ORDER BY doc_id, pos) > 1 AS again
-            FROM texts, unnest(range(1, len(ws) - 18)) AS p(pos)
-        ), gone AS (
-            SELECT DISTINCT doc_id, pos + k AS pos FROM starts, range(20) AS r(k) WHERE again
-        ), words AS (
-            SELECT doc_id, pos, ws[pos] AS word FROM texts, unnest(range(1, len(ws) + 1)) AS p(pos)
-        ), judged AS (
-            SELECT w.doc_id, w.pos, w.word, g.pos IS NOT NULL AS removed FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos
-        ), sums AS (
-            SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed) AS kept
-            FROM judged GROUP BY doc_id
-        )
-        SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-        FROM texts t LEFT JOIN sums s ON s.doc_id = t.doc_id
-    """,
-    "op7_url_filter": """
-        WITH parsed AS (
-            SELECT page_id,
-                   translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
-            FROM pages
-        ), rules(rule_host, rule_path, verdict) AS (
-            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
-        ), judged AS (
-            SELECT p.*, (
-                SELECT {'rule': rule_host || rule_path, 'verdict': verdict} FROM rules
-                WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-                ORDER BY length(rule_host || rule_path) DESC LIMIT 1
-            ) AS best
-            FROM parsed p
-        )
-        SELECT page_id, host, path, best.rule AS rule,
-               coalesce(best.verdict, CASE WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])(adult|bets|casino|pills|porn|spam|viagra|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
-        FROM judged
-    """,
-    "op1_line_dedup": """
-        WITH lines AS (
-            SELECT doc_id, i, line, translate(trim(line, E' \\t\\n\\x0b\\f\\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
-        ), repeated AS (
-            SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
-        ), judged AS (
-            SELECT l.doc_id, i, line, keeper IS NOT NULL AND l.doc_id <> keeper AS gone FROM lines l LEFT JOIN repeated r USING (key)
-        )
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-        FROM judged GROUP BY doc_id
-    """,
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import id_key, put, schema_with, slices, written
+from .shared import id_key, put, schema_with, slices, unused, written
 from .words import Words, cut
 
 _MOST = np.uint64(2**64 - 1)
@@ -113,16 +113,16 @@ def _emit(before: int | None, length: int, window: int):
     return run
 
 
-def _remove(text_col: str, schema: T.StructType, before: int, window: int):
+def _remove(text_col: str, survivors_col: str, firsts_col: str, schema: T.StructType, before: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             column = batch.column(text_col)
             words = cut(column)
-            repeats = _candidates(words, before, window, batch.column("__survivors"))
+            repeats = _candidates(words, before, window, batch.column(survivors_col))
             at, h = words.windows(window)
             place = np.full(len(words.starts), -1, dtype=np.int64)
             place[at] = np.arange(len(at))
-            firsts = batch.column("__firsts")
+            firsts = batch.column(firsts_col)
             for row in np.flatnonzero(firsts.is_valid().to_numpy(zero_copy_only=False)):
                 own = firsts[row].values.to_numpy()
                 i = words.first[row] + (own >> 32)
@@ -175,6 +175,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = written(first.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(packed).alias("firsts")), "first-windows")
     names = {"n_words": T.LongType(), "n_removed": T.LongType()}
     schema = schema_with(docs, **names)
-    known = survivors.join(firsts, "doc", "left").select(F.col("doc").alias("__doc"), F.col("survivors").alias("__survivors"), F.col("firsts").alias("__firsts"))
-    joined = docs.drop(*[c for c in docs.columns if c.lower() in names]).withColumn("__doc", id_key(id_col)).join(known.hint("shuffle_hash"), "__doc", "left").drop("__doc")
-    return joined.mapInArrow(_remove(text_col, schema, before, window), schema)
+    doc, alive, first_col = unused(docs, "doc", "survivors", "firsts")
+    known = survivors.join(firsts, "doc", "left").select(F.col("doc").alias(doc), F.col("survivors").alias(alive), F.col("firsts").alias(first_col))
+    joined = docs.drop(*[c for c in docs.columns if c.lower() in names]).withColumn(doc, id_key(id_col)).join(known.hint("shuffle_hash"), doc, "left").drop(doc)
+    return joined.mapInArrow(_remove(text_col, alive, first_col, schema, before, window), schema)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 #: A set of rules up to this many is small enough to send to every executor (some 100 bytes each).
 BROADCAST_RULES = 50_000
 
@@ -41,9 +43,19 @@ def word_rule(word: str) -> Rule:
     return Rule(f"*{word}*", "block", rf"(?<![A-Za-z0-9])(?i:{word})(?![A-Za-z0-9])", (word,))
 
 
+def ending_rule(ending: str) -> Rule:
+    """Blocks URLs whose path ends with a dot and the ending."""
+    return Rule(f"*.{ending}", "block", rf"^[^/]*/.*\.(?i:{ending})$", (ending,))
+
+
 #: Words in the host or path of sites that training data should not have.
-BLOCK_WORDS = ("adult", "bets", "casino", "pills", "porn", "spam", "viagra", "xxx")
-DEFAULT_RULES = tuple(word_rule(w) for w in BLOCK_WORDS)
+BLOCK_WORDS = (
+    "adult", "bets", "betting", "casino", "casinos", "escort", "escorts", "gambling", "hentai", "jackpot", "nude", "nudes", "phentermine", "pills",
+    "poker", "porn", "porno", "roulette", "sexcam", "slots", "spam", "sportsbook", "viagra", "warez", "webcams", "xxx",
+)
+#: Endings of files that hold no text.
+BLOCK_ENDINGS = ("apk", "avi", "dmg", "exe", "gif", "iso", "jpeg", "jpg", "mkv", "mp3", "mp4", "msi", "png", "rar", "tgz", "zip")
+DEFAULT_RULES = (*(word_rule(w) for w in BLOCK_WORDS), *(ending_rule(e) for e in BLOCK_ENDINGS))
 
 
 def url_host(url: Column) -> Column:
@@ -71,8 +83,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | tuple[Rule, ...], url_col:
     new = {"host", "path", "rule", "verdict"} - {url_col.lower()}
     pages = pages.drop(*[c for c in pages.columns if c.lower() in new])
     # judged once for each distinct host and path
-    pages = pages.withColumns({"__host": url_host(F.col(f"`{url_col}`")), "__path": url_path(F.col(f"`{url_col}`"))})
-    tokens = pages.select("__host", "__path").distinct().select("__host", "__path", F.explode(_tokens(F.concat("__host", "__path"))).alias("token"))
+    host, path, best_col = unused(pages, "host", "path", "best")
+    kept = [F.col(f"`{c}`") for c in pages.columns]
+    address = F.concat(host, path)
+    pages = pages.withColumns({host: url_host(F.col(f"`{url_col}`")), path: url_path(F.col(f"`{url_col}`"))})
+    tokens = pages.select(host, path).distinct().select(host, path, F.explode(_tokens(address)).alias("token"))
     table = spark.createDataFrame(
         [(i, r.name, r.verdict, r.pattern, sorted({*r.tokens}) or [""], r.rank) for i, r in enumerate(rules)],
         "rule_id int, name string, verdict string, pattern string, tokens array<string>, rank int",
@@ -82,8 +97,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | tuple[Rule, ...], url_col:
     counts = tokens.join(small(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = literal.join(counts, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     index = table.drop("tokens").join(rarest, "rule_id")
-    fits = tokens.join(small(index), "token").where(F.regexp_like(F.concat("__host", "__path"), F.col("pattern")))
-    best = fits.groupBy("__host", "__path").agg(F.max(F.struct("rank", F.length("name").alias("length"), "verdict", "name")).alias("__best"))
-    added = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.when(F.col("__best.rank") == 1, F.col("__best.name")), "verdict": F.coalesce("__best.verdict", F.lit("allow"))}
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("__host", "__path")]
-    return pages.join(best, ["__host", "__path"], "left").select(*kept, *[c.alias(name) for name, c in added.items() if name in new])
+    fits = tokens.join(small(index), "token").where(F.regexp_like(address, F.col("pattern")))
+    best = fits.groupBy(host, path).agg(F.max(F.struct("rank", F.length("name").alias("length"), "verdict", "name")).alias(best_col))
+    added = {"host": F.col(host), "path": F.col(path), "rule": F.when(F.col(f"{best_col}.rank") == 1, F.col(f"{best_col}.name")), "verdict": F.coalesce(f"{best_col}.verdict", F.lit("allow"))}
+    return pages.join(best, [host, path], "left").select(*kept, *[c.alias(name) for name, c in added.items() if name in new])
