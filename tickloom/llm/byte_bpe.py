@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 
 from .shared import put, schema_with, slices
 
-LEAF_CHARS = 4096
-LEAF_BYTES = 32
-CACHED_PIECES = 150_000
+#: Leaves of the trees. What a piece was reduced to is kept for the next time that it comes.
+LEAF_CHARS = 512
+LEAF_BYTES = 4
+CACHED_PIECES, CACHED_WINDOWS, CACHED_CHARS = 250_000, 150_000, 32
 CACHED_PAIRS = 50_000
 #: Characters from its start that decide on a piece besides its own: the longest contraction.
 LOOK = 3
@@ -44,11 +45,15 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 class _Cache(dict):
-    def __init__(self, make, most: int):
+    """What make gives for each key, kept for keys of up to longest, until there are most of them."""
+
+    def __init__(self, make, most: int, longest: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
@@ -60,8 +65,11 @@ class Codec:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes_of = {i: token for token, i in ranks.items()}
-        self.packed = _Cache(lambda piece: np.array(self.piece(piece.encode()), dtype="<u4").tobytes(), CACHED_PIECES)
-        self._stands = _Cache(lambda pair: self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair], CACHED_PAIRS)
+        self.packed = _Cache(lambda piece: np.array(self.piece(piece.encode()), dtype="<u4").tobytes(), CACHED_PIECES, CACHED_CHARS)
+        self._stands = _Cache(lambda pair: self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair], CACHED_PAIRS, 2)
+        self._windows = _Cache(self.merged, CACHED_WINDOWS, CACHED_CHARS)
+        #: How often elements were joined: of token ids, and of pieces.
+        self.joins = [0, 0]
 
     # Token ids within a piece.
 
@@ -82,16 +90,17 @@ class Codec:
 
     def halves(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
-            return self.merged(data)
+            return self._windows[data]
         middle = len(data) // 2
         return self.joined(self.halves(data[:middle]), self.halves(data[middle:]))
 
     def joined(self, a: list[int], b: list[int]) -> list[int]:
         if not a or not b:
             return a or b
+        self.joins[0] += 1
         left = right = 1
         while True:
-            window = self.merged(b"".join(self.bytes_of[i] for i in (*a[-left:], *b[:right])))
+            window = self._windows[b"".join(map(self.bytes_of.__getitem__, (*a[-left:], *b[:right])))]
             grow_left = left < len(a) and not self._stands[a[-left - 1], window[0]]
             grow_right = right < len(b) and not self._stands[window[-1], b[right]]
             if not grow_left and not grow_right:
@@ -108,16 +117,13 @@ class Codec:
         """The pieces of a text, and the ids of each as little-endian 32-bit integers."""
         if len(text) <= LEAF_CHARS:
             found = self.split(text)
-            packed = self.packed
-            return found, [packed[p] if len(p) <= LEAF_BYTES else self._long(p) for p in found]
+            return found, list(map(self.packed.__getitem__, found))
         middle = len(text) // 2
         return self.joined_texts(text[:middle], self.pieces(text[:middle]), text[middle:], self.pieces(text[middle:]))
 
-    def _long(self, piece: str) -> bytes:
-        return np.array(self.piece(piece.encode()), dtype="<u4").tobytes()
-
     def joined_texts(self, ta: str, a: tuple[list[str], list[bytes]], tb: str, b: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
         (pa_, ia), (pb, ib) = a, b
+        self.joins[1] += 1
         tail = open_ = 0
         for p in reversed(pa_):
             if tail and tail + len(p) >= LOOK:  # it ends before the part, and starts early enough
@@ -134,11 +140,11 @@ class Codec:
         taken, skipped = end
         new_p, new_i = found[:taken], []
         for p in new_p:
-            if open_ and skipped and len(p) > LEAF_BYTES and p == pa_[-1] + pb[0] and min(len(ia[-1]), len(ib[0])) > 4:
+            if open_ and skipped and len(p) > CACHED_CHARS and p == pa_[-1] + pb[0]:
                 ids = self.joined(np.frombuffer(ia[-1], "<u4").tolist(), np.frombuffer(ib[0], "<u4").tolist())
                 new_i.append(np.array(ids, dtype="<u4").tobytes())
             else:
-                new_i.append(self.packed[p] if len(p) <= LEAF_BYTES else self._long(p))
+                new_i.append(self.packed[p])
         keep = len(pa_) - open_
         pa_[keep:], ia[keep:] = new_p, new_i
         pa_ += pb[skipped:]
@@ -168,6 +174,7 @@ class Codec:
     def forget(self) -> None:
         """Empties the caches: a worker that lives on after its task keeps only the vocabulary."""
         self.packed.clear()
+        self._windows.clear()
         self._stands.clear()
 
     # Whole texts.
