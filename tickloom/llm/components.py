@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import removed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     digest = None
     for _ in range(most_rounds):
-        edges = written(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        removed(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == digest:
             break

@@ -18,13 +18,18 @@ classes; a class fixes how many fragments its sets are cut into:
 
 Equal sets collapse to the smallest id first. In a group of sets with one fragment in
 common each meets only the group's first (a link to it is all that components need). A
-pair is dropped if its sizes, or the bits in which two parity sketches differ (each stands
-for a shingle of only one set), exceed what the threshold allows; then exact overlaps are
-counted within the pair's task, fragment by fragment, stopped once the rest cannot reach the
-threshold. Groups that the links have not made one component then meet
-another member, drawn by hash for each fragment. What is still apart after that is compared
-across components, block by block on sketches, and only pairs that these let link become
-rows; so no link that joins two components is missed.
+pair is dropped if its sizes, those of its vertical fragments, or the bits in which two parity
+sketches differ (each stands for a shingle of only one set), exceed what the threshold allows.
+
+The sets of the pairs that are left are cut vertically into FRAGMENTS ranges of the global
+order: rows (document, fragment, shingles). A pair meets one fragment of either set in a row,
+which counts the partial overlap there; the partial overlaps are summed by pair, and the sum
+decides. No task holds more than a fragment of two sets at once.
+
+Groups that the links have not made one component then meet another member, drawn by hash for
+each fragment. What is still apart after that is compared across components, block by block on
+sketches, and only pairs that these let link become rows; so no link that joins two components
+is missed.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import NULL_ID, id_key, partitions, runs, slices, written
+from .shared import NULL_ID, id_key, partitions, removed, runs, slices, unused, written
 from .words import Words, cut, mix
 
 GROWTH = 1.5
@@ -46,7 +51,8 @@ HOT_TEXTS = 1000
 MOST_HOT = 200_000
 SKETCH_BITS = 1 << 20
 BLOCK = 256
-CHECK_FRAGMENTS = 16
+#: Vertical fragments in which overlaps are counted.
+FRAGMENTS = 16
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,32 +160,13 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def overlap_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * |a & b| >= percent * |a | b|, from the fragments' partial overlaps (sorted sets, none empty)."""
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    if min(len(a), len(b)) < need:
-        return False
-    edges = np.arange(CHECK_FRAGMENTS + 1)
-    ea, eb = (np.searchsorted(_fragment_of(x, CHECK_FRAGMENTS), edges) for x in (a, b))
-    most = np.minimum(np.diff(ea), np.diff(eb))
-    reachable = int(most.sum())
-    for f in range(CHECK_FRAGMENTS):
-        if reachable < need:
-            return False
-        own = a[ea[f] : ea[f + 1]]
-        both = np.concatenate([own, b[eb[f] : eb[f + 1]]])
-        both.sort()
-        reachable += int((both[1:] == both[:-1]).sum()) - int(most[f])
-    return reachable >= need
-
-
 def _sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(cut(column, lower=True), n)
 
 
 def _describe(n: int):
-    """(doc, n_shingles, s1, s2, sketch): each set's size, 128-bit hash and sketch; and, with hot, (s1, n_shingles) of
-    shingles in several texts of a slice."""
+    """(doc, n_shingles, s1, s2, sketch, parts): each set's size, 128-bit hash, sketch and fragments' sizes; and, with hot,
+    (s1, n_shingles) of shingles in several texts of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -192,6 +179,8 @@ def _describe(n: int):
             shingle, texts = np.unique(h, return_counts=True)
             shingle, texts = shingle[texts > 2].view(np.int64), texts[texts > 2]
             none = len(shingle)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            parts = np.bincount(row * FRAGMENTS + _fragment_of(h, FRAGMENTS), minlength=batch.num_rows * FRAGMENTS).astype(np.int32)
             sketches = [parity_sketch(h[s:e]) for s, e in zip(first, first[1:], strict=False)]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -200,6 +189,7 @@ def _describe(n: int):
                     "s1": pa.array(np.concatenate([sums[0], shingle])),
                     "s2": pa.array(np.concatenate([sums[1], np.zeros(none, np.int64)])),
                     "sketch": pa.array(sketches + [None] * none, pa.binary()),
+                    "parts": pa.array([*parts.reshape(-1, FRAGMENTS), *[None] * none], pa.list_(pa.int32())),
                     "hot": pa.array(np.arange(batch.num_rows + none) >= batch.num_rows),
                 }
             )
@@ -226,37 +216,50 @@ def _keys(n: int, percent: int, largest: int, hot):
 
 
 def _near(percent: int):
-    """Pairs whose sketches differ by no more than a link can."""
+    """Pairs whose sketches differ, and whose fragments' sizes overlap, as a link's can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")]
-            ok = [least_difference(x, y) <= (100 - percent) * (m + n) // (100 + percent) for m, n, x, y in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            m, n = (np.array(batch.column(c)) for c in ("n_a", "n_b"))
+            parts = [batch.column(c).flatten().to_numpy().reshape(-1, FRAGMENTS) for c in ("parts_a", "parts_b")]
+            ok = (100 + percent) * np.minimum(*parts).sum(1, dtype=np.int64) >= percent * (m + n)
+            for k in np.flatnonzero(ok):
+                ok[k] = least_difference(batch.column("sketch_a")[k].as_py(), batch.column("sketch_b")[k].as_py()) <= (100 - percent) * (m[k] + n[k]) // (100 + percent)
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _verify(n: int, percent: int):
+def _cut_vertically(n: int):
+    """(doc, fragment, shingles): a row for each fragment of a set that is not empty."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a"):
-            (ha, fa), (hb, fb) = (_sets_of(batch.column(c), n) for c in ("text_a", "text_b"))
-            ok = [overlap_reaches(ha[fa[r] : fa[r + 1]], hb[fb[r] : fb[r + 1]], percent) for r in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in slices(batches, "text"):
+            h, first = _sets_of(batch.column("text"), n)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(first)) * FRAGMENTS + _fragment_of(h, FRAGMENTS)
+            own, starts = np.unique(at, return_index=True)  # sorted: by row, then in the global order
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(own // FRAGMENTS)), pa.array((own % FRAGMENTS).astype(np.int32)), lists], names=["doc", "fragment", "shingles"])
 
     return run
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int, percent: int, step: str) -> DataFrame:
-    """Of pairs (a, b) of different sets those that link. Sketches meet pairs, and texts what these leave, in joins that
-    adaptive execution can split; the texts of those few are written first, so that all texts are shuffled once."""
-    side = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    """Of pairs (a, b) of different sets those that link. Sketches meet pairs, and fragments what these leave, in joins that
+    adaptive execution can split; the fragments of those few are written first, so that all texts are shuffled once."""
+    side = lambda x: reps.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "parts")))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = written(sized.mapInArrow(_near(percent), "a long, b long"), f"near-{step}")
+    near = written(sized.mapInArrow(_near(percent), "a long, b long, n_a long, n_b long"), f"near-{step}")
     needed = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = written(source.join(needed.hint("shuffle_hash"), "doc", "left_semi"), f"texts-{step}")
-    left, right = (texts.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return written(near.join(left, "a").join(right, "b").mapInArrow(_verify(n, percent), "a long, b long"), f"links-{step}")
+    cut_up = source.join(needed.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_cut_vertically(n), "doc long, fragment int, shingles array<long>")
+    cut_up = written(cut_up, f"vertical-{step}")
+    left, right = (cut_up.select(F.col("doc").alias(x), "fragment", F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
+    partial = near.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long").alias("both"))
+    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
+    links = written(total.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), f"links-{step}")
+    removed(near)
+    removed(cut_up)
+    return links
 
 
 def _id(key: str) -> Column:
@@ -264,18 +267,19 @@ def _id(key: str) -> Column:
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The distinct (id, text) of docs, each with a `key` (long) that no other has; of rows that repeat both, the largest
+    """The distinct (id, text) of docs, each with a first column, a key (long) that no other has; of rows that repeat both, the largest
     of the other columns stays. The key is a hash, salted until none is shared."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    row = F.max(F.struct(*(f"`{c}`" for c in rest))).alias("__row") if rest else F.lit(None).alias("__row")
+    key, row_col = unused(docs, "key", "row")
+    row = (F.max(F.struct(*(f"`{c}`" for c in rest))) if rest else F.lit(None)).alias(row_col)
     docs = written(docs.groupBy(f"`{id_col}`", f"`{text_col}`").agg(row), "documents")
     # null and empty texts hash alike without the flags
     parts = [x for c in (id_col, text_col) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     for salt in range(16):
-        keyed = docs.withColumn("__key", F.xxhash64(F.lit(salt), *parts))
-        n, n_keys, least = keyed.agg(F.count("*"), F.count_distinct("__key"), F.min("__key")).first()
+        keyed = docs.withColumn(key, F.xxhash64(F.lit(salt), *parts))
+        n, n_keys, least = keyed.agg(F.count("*"), F.count_distinct(key), F.min(key)).first()
         if n == n_keys and least != NULL_ID:
-            return keyed.select(F.col("__key").alias("key"), f"`{id_col}`", f"`{text_col}`", *(F.col(f"__row.`{c}`") for c in rest))
+            return keyed.select(key, f"`{id_col}`", f"`{text_col}`", *(F.col(f"`{row_col}`.`{c}`") for c in rest))
     raise RuntimeError("no salt gives each document a key of its own")
 
 
@@ -297,10 +301,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         linked = groups.join(least, "component_id").select("id", "n_shingles", "least")
         out = groups.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("least")).unionAll(linked)
         return out.select(_id("id").alias(id_col), "n_shingles", _id("least").alias("component_id"))
-    described = written(source.mapInArrow(_describe(n), "doc long, n_shingles long, s1 long, s2 long, sketch binary, hot boolean"), "sets")
+    described = written(source.mapInArrow(_describe(n), "doc long, n_shingles long, s1 long, s2 long, sketch binary, parts array<int>, hot boolean"), "sets")
     sets = described.where("not hot").select("doc", "n_shingles", "s1", "s2")
     classes = written(sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
-    reps = written(described.where("not hot").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", F.col("n_shingles").alias("n"), "sketch"), "representatives")
+    reps = written(described.where("not hot").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", F.col("n_shingles").alias("n"), "sketch", "parts"), "representatives")
     largest = reps.agg(F.max("n")).first()[0] or 1
     frequent = described.where("hot").groupBy("s1").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HOT_TEXTS).orderBy(F.desc("n"), "s1").limit(MOST_HOT)
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s1"] for r in frequent.collect()], dtype=np.int64).view(np.uint64)))

@@ -13,7 +13,8 @@ their own. All of them are rows of small tables, so the plan is the same for ten
    if the whole key phrase stands there, and its score is the IDF share of the template's
    words that stand at theirs.
 
-Only files that an anchor looked up take part in shuffles, with their places of template words.
+Files are known by 128 bits of hash of their text, so that copies are scanned once. Only files
+that an anchor looked up take part in shuffles, with their places of template words.
 """
 
 from __future__ import annotations
@@ -100,32 +101,34 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple[Temp
     vocabulary = sorted({w for t in every for w in words_of(t.text)})
     gone = {c for c in docs.columns if c.lower() in RESULTS and c != text_col} | (set() if keep_text else {text_col})
     kept = [c for c in docs.columns if c not in gone]
-    row, words = unused(docs, "row", "words")
+    words = unused(docs, "words")[0]
+    text = F.col(f"`{text_col}`").cast("string")
     placed = F.array_compact(F.transform(F.col(words), lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("p")))))
     names = {c: f"c{k}" for k, c in enumerate(kept)}  # so that none of docs' names matters below
-    files = docs.withColumn(words, license_words(F.col(f"`{text_col}`"))).withColumn(row, F.monotonically_increasing_id())
-    files = files.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), F.col(row).alias("row"), F.size(words).cast("long").alias("n_words"), placed.alias("places"))
-    files = written(files, "licence-words")  # row ids are fixed from here on
+    files = docs.withColumn(words, license_words(text)).select(
+        *(F.col(f"`{c}`").alias(a) for c, a in names.items()), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), F.size(words).cast("long").alias("n_words"), placed.alias("places")
+    )
+    files = written(files, "licence-words")
 
     anchors, postings, template_words, anchor_words = _tables(files, every)
-    places = files.select("row", "places").withColumn("w", F.explode(F.filter(F.array_distinct("places.w"), lambda w: w.isin(anchor_words))))
-    fetched = places.join(anchors, "w").where(F.size(F.array_except("needed", "places.w")) == 0).select("row", "template", "posted", "places")
-    fetched = written(fetched, "licence-candidates")
-    hits = fetched.select("row", "template", F.explode(F.filter("places", lambda h: F.array_contains("posted", h["w"]))).alias("h")).select("row", "template", "h.w", "h.p")
-    starts = hits.join(postings, ["template", "w"]).groupBy("row", "template", (F.col("p") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"), F.first("n_postings").alias("n_postings"))
-    starts = starts.where("n = n_postings and start >= 0").select("row", "template", "start")
+    places = files.select("t1", "t2", "places").withColumn("w", F.explode(F.filter(F.array_distinct("places.w"), lambda w: w.isin(anchor_words))))
+    fetched = places.join(anchors, "w").where(F.size(F.array_except("needed", "places.w")) == 0).select("t1", "t2", "template", "posted", "places")
+    fetched = written(fetched.dropDuplicates(["t1", "t2", "template"]), "licence-candidates")
+    hits = fetched.select("t1", "t2", "template", F.explode(F.filter("places", lambda h: F.array_contains("posted", h["w"]))).alias("h")).select("t1", "t2", "template", "h.w", "h.p")
+    starts = hits.join(postings, ["template", "w"]).groupBy("t1", "t2", "template", (F.col("p") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"), F.first("n_postings").alias("n_postings"))
+    starts = starts.where("n = n_postings and start >= 0").select("t1", "t2", "template", "start")
     expected = starts.join(template_words, "template").withColumn("p", F.col("start") + F.col("offset"))
-    standing = fetched.select("row", "places").dropDuplicates(["row"]).select("row", F.explode("places").alias("h")).select("row", "h.w", "h.p")
-    met = expected.join(standing, ["row", "p", "w"]).groupBy("row", "template", "start").agg(
+    standing = fetched.select("t1", "t2", "places").dropDuplicates(["t1", "t2"]).select("t1", "t2", F.explode("places").alias("h")).select("t1", "t2", "h.w", "h.p")
+    met = expected.join(standing, ["t1", "t2", "p", "w"]).groupBy("t1", "t2", "template", "start").agg(
         F.sum("weight").alias("share"), F.count_if("in_key").alias("key_words"), F.first("n_key").alias("n_key"), F.first("label").alias("label"), F.first("base").alias("base")
     )
     good = met.where("key_words = n_key")
     place, labelled = F.when(F.col("base"), F.col("start")), F.col("base") | (F.col("share") >= LABEL_SCORE - 1e-9)
     joined = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
-    found = good.groupBy("row").agg(
+    found = good.groupBy("t1", "t2").agg(
         F.count(place).alias("n_base"), F.min(place).cast("long").alias("first_word"), F.max(place).cast("long").alias("last_word"),
         joined(F.col("base")).alias("base_labels"), joined(labelled).alias("labels"), F.least(F.max(F.when(~F.col("base"), F.col("share"))), F.lit(1.0)).alias("score"),
     )
     none = {"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}
-    out = files.drop("places").join(written(found, "licences"), "row", "left")
+    out = files.drop("places").join(written(found, "licences"), ["t1", "t2"], "left")
     return out.select(*(F.col(a).alias(c) for c, a in names.items()), *(F.coalesce(c, F.lit(none[c])).alias(c) if c in none else F.col(c) for c in RESULTS))
