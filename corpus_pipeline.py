@@ -40,9 +40,10 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     n_rows, n_ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
     if n_rows != n_ids:
         columns, docs = docs.columns, with_keys(docs, "doc_id", "text")
-        groups = jaccard_components(docs, "key", n=5, percent=80).join(docs.select("key", "doc_id"), "key")
-        kept = groups.groupBy("component_id").agg(F.min(F.struct(id_key("doc_id").alias("doc_id"), "key")).alias("first")).select(F.col("first.key").alias("key"))
-        return docs.join(kept.hint("shuffle_hash"), "key", "left_semi").select(columns)
+        key = docs.columns[0]
+        groups = jaccard_components(docs, key, n=5, percent=80).join(docs.select(key, "doc_id"), key)
+        kept = groups.groupBy("component_id").agg(F.min(F.struct(id_key("doc_id").alias("doc_id"), F.col(key).alias("key"))).alias("first")).select(F.col("first.key").alias(key))
+        return docs.join(kept.hint("shuffle_hash"), key, "left_semi").select(columns)
     groups = jaccard_components(docs, n=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
