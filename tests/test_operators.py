@@ -62,8 +62,8 @@ def test_indicators_are_causal(spark):
 
 
 def test_recurrence_equals_the_loop_over_chunks(spark):
-    closes = [float((i * 7919) % 101) for i in range(I.CHUNK * 3 + 5)]
-    for n in (2, 10, 400):
+    closes = [float((i * 7919) % 101) for i in range(700)]
+    for n in (1, 2, 10, 100, 400):
         got = [r.e for r in I.ema(make_bars(spark, closes), "close", n, "e").orderBy("time").collect()]
         value = None
         for k, (x, g) in enumerate(zip(closes, got, strict=True)):
@@ -178,6 +178,178 @@ def test_catalog(spark, tmp_path):
     assert catalog.read_files(spark, [], bars.schema).count() == 0
 
 
+def test_series_lose_symbols_by_manifest_alone(spark, tmp_path):
+    path = str(tmp_path / "s p=1")
+    rows = make_bars(spark, [1.0, 2.0]).unionAll(make_bars(spark, [5.0], "b/ ü%")).unionAll(make_bars(spark, [7.0], None))
+    catalog.write_series(rows, path)
+    files = catalog.series_files(spark, path, rows.schema)
+    for gone, want in (([], ["", "a", "a", "b/ ü%"]), (["b/ ü%"], ["", "a", "a"]), ([None, "a"], ["b/ ü%"]), (["a", "b/ ü%", None], [])):
+        left = catalog.delete_series(files, gone)
+        assert sorted(r.symbol or "" for r in catalog.read_series(spark, path, left, rows.schema).collect()) == want
+
+
+def test_series_are_more_tasks_than_symbols(spark, tmp_path):
+    bars = make_bars(spark, [float(i) for i in range(2000)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would become one task again
+    try:
+        catalog.write_series(bars, str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(catalog.series_files(spark, str(tmp_path / "s"), bars.schema)) > 1
+
+
+def test_arrow_ipc_bytes(spark):
+    bars = make_bars(spark, [1.0, float("nan"), 3.0]).unionAll(make_bars(spark, [2.0], None))
+    back = catalog.from_ipc(catalog.to_ipc(bars), bars.schema)
+    assert back.schema == bars.schema and back.exceptAll(bars).count() == 0 and back.count() == 4
+    empty = spark.createDataFrame([(None,), (b"",)], "payload binary")
+    assert catalog.from_ipc(empty, bars.schema).count() == 0 and catalog.from_ipc(catalog.to_ipc(bars.limit(0)), bars.schema).count() == 0
+
+
+def test_statistics_keep_their_digits_far_from_zero(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = 1e6 + rng.standard_normal(5000)
+    df = spark.createDataFrame([("a", float(v), float(v + 0.1 * e), int(k % 4)) for k, (v, e) in enumerate(zip(x, rng.standard_normal(5000), strict=True))] + [("c", 7.0, 7.0, 1)] * 3 + [("n", None, 1.0, 1)], "g string, x double, y double, p int")
+    rows = {r.g: r for r in X.moments(df, "x", ["g"]).collect()}
+    d = x - x.mean()
+    assert rows["a"].skew == pytest.approx((d**3).mean() / (d**2).mean() ** 1.5, rel=1e-6) and rows["a"].kurtosis == pytest.approx((d**4).mean() / (d**2).mean() ** 2 - 3, rel=1e-6)
+    assert rows["c"].skew is None and rows["c"].kurtosis is None and rows["n"].n == 0
+    far = df.withColumns({"x": F.col("x") + 1e8, "y": F.col("y") + 1e8})
+    near = {r.g: r.r2 for r in X.r_squared(df, "x", "y", ["g"]).collect()}
+    r2 = {r.g: r.r2 for r in X.r_squared(far, "x", "y", ["g"]).collect()}
+    assert r2["a"] == pytest.approx(near["a"], abs=1e-5) and 0.98 < r2["a"] < 1 and r2["c"] is None
+    share = X.importances(far.where("g = 'a'").withColumn("x", F.col("x") + F.col("p")), ["p"], "x").first().importance
+    v = x + np.arange(5000) % 4
+    between = sum((v[k::4].mean() - v.mean()) ** 2 / 4 for k in range(4))
+    assert share == pytest.approx(between / v.var(), rel=1e-4)
+
+
+def test_students_p(spark):
+    import math
+
+    df = spark.createDataFrame([(12.706, 1), (4.303, 2), (3.182, 3), (2.228, 10), (2.131, 15), (1.984, 100), (0.0, 7), (-2.228, 10), (1.96, 10**6), (2.0, 0), (None, 5)], "t double, df long")
+    got = [r.p for r in df.select(X.student_p(F.col("t"), F.col("df")).alias("p")).collect()]
+    assert got[:6] == pytest.approx([0.05] * 6, abs=3e-4) and got[6] == 1 and got[7] == got[3] and got[8] == pytest.approx(0.05, abs=1e-4) and got[9:] == [None, None]
+    assert spark.range(1).select(X.student_p(F.lit(1.0), F.lit(2)).alias("p")).first().p == pytest.approx(1 - 1 / math.sqrt(3), rel=1e-12)
+
+
+def test_deflated_sharpe(spark):
+    stats = spark.createDataFrame([("a", 100, 0.3, 0.0, 0.0), ("b", 100, -0.1, 0.0, 0.0), ("c", 100, None, None, None)], "g string, n long, sharpe double, skew double, kurtosis double")
+    one, many = ({r.g: r.dsr for r in X.deflated_sharpe(stats, n).collect()} for n in (1, 50))
+    assert one["a"] > 0.99 and one["b"] < 0.5 and many["a"] < one["a"] and one["c"] is None
+    assert X.expected_maximum(2) < X.expected_maximum(10) < X.expected_maximum(1000) and X.expected_maximum(1000) == pytest.approx(3.24, abs=0.05)
+
+
+def test_ranks_of_all_rows(spark):
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 11).cast("double").alias("best_value"), F.col("id").alias("trials"))
+    got = {r.k: r.rank for r in X.by_objective(rows, "profit", "k").collect()}
+    order = sorted(range(3000), key=lambda k: (-(k % 11) if k % 7 else 1, k))
+    assert got == {k: n + 1 for n, k in enumerate(order)}
+    assert [r.rank for r in X.by_objective(rows, "profit", "k", most=5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    assert X.by_objective(rows.limit(0), "profit", "k").count() == 0
+
+
+def test_averages_at_the_ends_of_alpha(spark):
+    closes = [float((i * 7919) % 101) for i in range(200)]
+    bars = make_bars(spark, closes)
+    for alpha in (1.0, 0.999, 0.9999999, 1e-4):
+        got = [r.e for r in I.smoothed(bars, F.col("close"), alpha, "e").orderBy("time").collect()]
+        value = 0.0
+        for k, (x, g) in enumerate(zip(closes, got, strict=True)):
+            value = ST.next_ema(value, k, x, alpha)
+            assert g == pytest.approx(value, rel=1e-9, abs=1e-9)
+    with pytest.raises(ValueError):
+        I.smoothed(bars, F.col("close"), 0.0, "e")
+    gaps = bars.withColumn("close", F.when(F.col("close") < 5, float("nan")).otherwise(F.col("close")))
+    nulls = bars.withColumn("close", F.when(F.col("close") >= 5, F.col("close")))
+    a, b = ([r.e for r in I.ema(x, "close", 10, "e").orderBy("time").collect()] for x in (gaps, nulls))
+    assert a == b and a[0] is None and all(v is not None for v in a[1:])
+
+
+def test_averages_read_the_bars_once(spark):
+    """One scan, the bars' own exchange and one by symbol, however many averages."""
+    bars = B.ohlcv(B.ticks_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")))
+    for f in (I.macd, I.rsi):
+        plan = f(bars)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_positions_with_nulls_and_times(spark):
+    fills = [(None, 1, at(1), 2.0, 10.0), (None, 2, at(2), 2.0, 20.0), (None, 3, at(3), None, 20.0), (7, 1, at(1), 1.0, None), (7, 2, at(2), 1.0, 5.0), (7, 3, at(3), -1.0, 6.0), (8, 1, at(1), 1.0, 5.0), (8, 2, at(2), -3.0, 6.0), (9, 1, at(1), None, None)]
+    df = spark.createDataFrame(fills, "account long, n int, time timestamp_ntz, quantity double, price double")
+    rows = {r.account: tuple(r)[1:] for r in SIM.positions(df).collect()}
+    assert rows == {None: (4.0, 15.0, 0.0, 2, True, at(1), None), 7: (0.0, 0.0, 1.0, 2, False, at(2), at(3)), 8: (-2.0, 6.0, 1.0, 2, True, at(2), None)}
+    assert SIM.positions(df.limit(0)).count() == 0
+
+
+def test_asof_over_buckets(spark):
+    import bisect
+    import random
+
+    rng = random.Random(2)
+    right = [(k, at(t), float(t) if t % 5 else None) for k in ("a", "b", None) for t in sorted(rng.sample(range(20_000), 40))]
+    left = [(rng.choice(["a", "b", "c", None]), at(rng.randrange(20_000)), i) for i in range(300)] + [("a", None, 999)]
+    lf, rf = spark.createDataFrame(left, "k string, ts timestamp_ntz, x int"), spark.createDataFrame([*right, ("a", None, 5.0)], "k string, ts timestamp_ntz, v double")
+    want = {}
+    for k, t, x in left:
+        own = [(r[1], r[2]) for r in right if r[0] == k]
+        n = bisect.bisect_right([o[0] for o in own], t) if t else 0
+        want[x] = own[n - 1][1] if n else None
+    assert {r.x: r.v for r in J.asof_join(lf, rf, ["k"], "ts", ["v"]).collect()} == want
+
+
+def test_pareto_plan_makes_no_pairs_of_rows(spark):
+    pts = spark.range(500).selectExpr("id k", "double(id * 31 % 97) x", "double(id * 13 % 89) y", "double(id * 7 % 83) z")
+    for goals in (["x"], ["x", "y"], ["x", "y", "z"]):
+        front = J.pareto_front(pts, "k", goals[:2], goals[2:])
+        assert "NestedLoop" not in front._jdf.queryExecution().executedPlan().toString()
+        rows = [tuple(r) for r in pts.select(*goals).collect()]
+        sign = [1 if g in goals[:2] else -1 for g in goals]
+        better = lambda o, p: all(s * a >= s * b for s, a, b in zip(sign, o, p, strict=True)) and o != p  # noqa: B023, E731
+        assert front.count() == sum(not any(better(o, p) for o in rows) for p in rows)
+
+
+def test_pareto_blocks_judge_each_other(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "CHAMPIONS", 3)
+    pts = spark.range(400).selectExpr("id k", "double(id * 31 % 97) x", "double(id * 13 % 89) y", "double(id * 7 % 83) z")
+    rows = [tuple(r) for r in pts.select("x", "y", "z").collect()]
+    want = sum(not any(all(a >= b for a, b in zip(o, p, strict=True)) and o != p for o in rows) for p in rows)
+    assert J.pareto_front(pts, "k", ["x", "y", "z"], []).count() == want
+    assert J.pareto_front(pts.limit(0), "k", ["x", "y", "z"], []).count() == 0
+
+
+def test_cursor_signals(spark):
+    sent = [("t", "e1", s) for s in range(1, 5)] + [("t", "e2", s) for s in range(10, 31)] + [(None, "e1", 3), ("t", None, 99), ("u", "e1", 1)]
+    cursors = [("old", "t", "e1", 4), ("gone", "t", "e2", 18), ("slow", "t", "e2", 20), ("edge", "t", "e2", 25), ("here", "t", "e2", 30), ("n", None, "e1", 3), ("x", "v", "e1", 1), ("y", "t", None, 1)]
+    got = ST.cursor_signals(spark.createDataFrame(sent, "topic string, epoch string, seq long"), spark.createDataFrame(cursors, "consumer string, topic string, epoch string, seq long"), retained=11, lag=5)
+    rows = {r.consumer: tuple(r)[2:] for r in got.collect()}
+    assert rows == {"old": ("epoch_changed", "e1", "e2", None, None), "gone": ("cursor_expired", None, None, "18", None), "slow": ("lagging", None, None, None, 21)}
+
+
+def test_window_of_a_stream_over_batches(spark, tmp_path):
+    src, top = str(tmp_path / "in"), str(tmp_path / "top")
+    schema = make_bars(spark, [1.0]).schema
+    for closes, start in (([1.0, 2.0, 3.0], 0), ([4.0], 3), ([5.0, 6.0], 4)):
+        rows = make_bars(spark, [0.0] * start + closes).where(F.col("close") > 0).unionAll(make_bars(spark, [9.0], "b") if not start else make_bars(spark, []))
+        rows.coalesce(1).write.mode("append").parquet(src)
+        out = ST.run_window(spark.readStream.schema(schema).parquet(src), 3, top)
+    assert sorted((r.symbol, r.close) for r in out.collect()) == [("a", 4.0), ("a", 5.0), ("a", 6.0), ("b", 9.0)]
+
+
+def test_performance_has_the_largest_drawdown(spark):
+    trades = spark.createDataFrame([("a", 1, 100.0, 0.1), ("a", 2, -220.0, -0.2), ("a", 3, 50.0, 0.05), ("b", 1, 1.0, 0.0)], "symbol string, s int, pnl double, ret double")
+    rows = {r.symbol: r.max_drawdown for r in SIM.performance(trades, "symbol", ["s"], 1000.0).collect()}
+    assert rows == {"a": pytest.approx(0.2), "b": 0.0}
+
+
+def test_chart_pages(spark):
+    out = B.chart_payload(make_bars(spark, [float(i) for i in range(25)]), ["close"], 10).orderBy("page").collect()
+    assert [len(r.time) for r in out] == [10, 10, 5] and out[2].close == [20.0, 21.0, 22.0, 23.0, 24.0] and out[0].time[1] - out[0].time[0] == 3_600_000_000
+
+
 def test_envelopes(spark):
     raw = spark.createDataFrame([('{"topic": "t", "seq": 4, "extra": 1}',), ("no json",), (None,)], "value string")
     assert [(r.topic, r.seq) for r in ST.decode_envelopes(raw).collect()] == [("t", 4), (None, None), (None, None)]

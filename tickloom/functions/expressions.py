@@ -26,12 +26,6 @@ def order_key(ts: Column, tiebreak: Column) -> Column:
     return (micros(ts).cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") + tiebreak.cast("decimal(38,0)")
 
 
-def correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson correlation from sums; null over a constant column."""
-    cov = n * sxy - sx * sy
-    return ratio(cov, F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * syy - sy * sy, F.lit(0.0))))
-
-
 def corr_guarded(x: Column, y: Column, window=None) -> Column:
     """covar / (sd * sd) over a group or a window frame; null where either is constant (corr raises there under ANSI)."""
     over = (lambda c: c.over(window)) if window is not None else (lambda c: c)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.expressions import order_key, ratio
+from tickloom.functions.expressions import micros, order_key, ratio
 
 
 def ticks_from_events(events: DataFrame) -> DataFrame:
@@ -77,11 +77,13 @@ def tape(ticks: DataFrame, n: int) -> DataFrame:
     return last_n(ticks, n, ["symbol"], [F.desc("ts"), F.desc("id")])
 
 
-def chart_payload(bars: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each symbol: arrays of times and of each column, aligned and in time order. One symbol's bars are one
-    row, so this is for the edge of the API, after slicing."""
-    points = F.sort_array(F.collect_list(F.struct("time", *columns)))
-    return bars.groupBy("symbol").agg(points.alias("points")).select("symbol", F.transform("points", lambda p: p["time"]).alias("time"), *[_column_of(c) for c in columns])
+def chart_payload(bars: DataFrame, columns: list[str], most: int = 10_000) -> DataFrame:
+    """A row for each symbol and page of at most `most` bars (page from 0, in time order): arrays of times, in microseconds
+    since 1970, and of each column, aligned and in time order."""
+    w = Window.partitionBy("symbol").orderBy("time")
+    paged = bars.withColumn("page", F.floor((F.row_number().over(w) - 1) / most))
+    points = F.sort_array(F.collect_list(F.struct(micros(F.col("time")).alias("time"), *columns)))
+    return paged.groupBy("symbol", "page").agg(points.alias("points")).select("symbol", "page", *[_column_of(c) for c in ("time", *columns)])
 
 
 def _column_of(name: str) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expressions import corr_guarded, ratio
+from tickloom.sources.catalog import stored
 
 
 def feature_table(bars: DataFrame, horizon: int = 5) -> DataFrame:
@@ -68,19 +70,56 @@ def top_ranked(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     return rows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def composite_scores(rows: DataFrame, weights: dict[str, float], key: str, most: int = 1000) -> DataFrame:
-    """score: weighted sum (a missing part counts 0); the `most` highest with their rank, ties by key."""
+def ranked(rows: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:
+    """Rows with rank from 1 in a total order; with most, the first so many of them only.
+
+    All rows are dealt by ranges of the order and stored, so that a range stays what it is; a row's rank is its place
+    in its range after the sizes of the ranges before. No task sorts more than a range."""
+    if most is not None:
+        return top_ranked(rows, order, most)
+    stretch, before = F.col("__range"), F.col("__before")
+    dealt = stored(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each partition
+    sizes = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(stretch).orderBy(*order))
+    return dealt.withColumn("__place", place).join(F.broadcast(sizes), "__range").withColumn("rank", (F.col("__place") + before).cast("long")).drop("__range", "__place", "__before")
+
+
+def composite_scores(rows: DataFrame, weights: dict[str, float], key: str, most: int | None = None) -> DataFrame:
+    """score: weighted sum (a missing part counts 0), and all rows' rank by it, ties by key; with most, the highest."""
     score = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
-    return top_ranked(rows.withColumn("score", F.round(score, 9)), [F.desc("score"), F.col(key)], most)
+    return ranked(rows.withColumn("score", F.round(score, 9)), [F.desc("score"), F.col(key)], most)
+
+
+#: Degrees of freedom from which on the normal distribution stands for Student's (they differ by less than 1e-6 there).
+MANY = 200_000
 
 
 def paired_delta(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n complete pairs, mean of b - a, Cohen's d (mean over deviation) and t; two-sided p by the normal
-    distribution, which is what t comes to for large n."""
+    """One row: n complete pairs, mean of b - a, Cohen's d (mean over deviation), t and its two-sided p by Student's
+    distribution of n - 1 degrees of freedom (null below 1, or where the differences do not vary)."""
     d = F.col(b) - F.col(a)
     out = pairs.agg(F.count(d).alias("n"), F.avg(d).alias("mean_delta"), ratio(F.avg(d), F.stddev_samp(d)).alias("cohens_d"))
     out = out.withColumn("t", F.col("cohens_d") * F.sqrt("n"))
-    return out.withColumn("p_normal", 2 * (1 - normal_cdf(F.abs("t"))))
+    return out.withColumn("p_value", student_p(F.col("t"), F.col("n") - 1))
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of t with a whole number of degrees of freedom, by the finite sums of Abramowitz and Stegun 26.7.3-4:
+    powers of cos(theta), theta = atan(|t| / sqrt(df)), with products of even over odd numbers (odd df) or odd over even."""
+    theta = F.atan(F.abs(t) / F.sqrt(df))
+    odd = df % 2 == 1
+    square = F.pow(F.cos(theta), F.lit(2))
+    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+    k_from = F.when(odd, 1).otherwise(0)
+    terms = F.greatest(F.floor((df - k_from) / 2), F.lit(0)).cast("int")
+    grow = lambda k: F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+    step = lambda acc, k: F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * square * grow(k)).alias("term"))
+    total = F.aggregate(F.slice(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), F.lit(1), terms), start, step, lambda acc: acc["sum"])
+    inside = F.when(odd, (theta + F.sin(theta) * total) * (2 / math.pi)).otherwise(F.sin(theta) * total)
+    exact = F.greatest(1 - inside, F.lit(0.0))
+    return F.when((df >= 1) & t.isNotNull(), F.when(df > MANY, 2 * (1 - normal_cdf(F.abs(t)))).otherwise(exact))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -92,23 +131,41 @@ def normal_cdf(z: Column) -> Column:
 
 
 def moments(rows: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """n, mean, sd, skew and excess kurtosis (population moments), and the Sharpe ratio of the sample."""
+    """n, mean, sd, skew and excess kurtosis (population moments; null where x does not vary), and the sample's Sharpe
+    ratio. Spark's own moments are updated around the running mean, so values far from 0 lose nothing."""
     c = F.col(x)
-    m1, m2, m3, m4 = F.avg(c), F.avg(c * c), F.avg(c * c * c), F.avg(c * c * c * c)
-    agg = rows.groupBy(*by).agg(F.count(c).alias("n"), m1.alias("mean"), F.stddev_samp(c).alias("sd"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4"))
-    m = F.col("mean")
-    var = F.col("m2") - m * m
-    third = F.col("m3") - 3 * m * F.col("m2") + 2 * m * m * m
-    fourth = F.col("m4") - 4 * m * F.col("m3") + 6 * m * m * F.col("m2") - 3 * m * m * m * m
-    return agg.select(*by, "n", "mean", "sd", ratio(third, var * F.sqrt(var)).alias("skew"), (ratio(fourth, var * var) - 3).alias("kurtosis"), ratio(m, F.col("sd")).alias("sharpe"))
+    varies = F.var_pop(c) > 0
+    agg = rows.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.when(varies, F.skewness(c)).alias("skew"), F.when(varies, F.kurtosis(c)).alias("kurtosis"))
+    return agg.withColumn("sharpe", ratio(F.col("mean"), F.col("sd")))
+
+
+EULER = 0.5772156649015329
+
+
+def expected_maximum(trials: int) -> float:
+    """What the best of so many independent standard normal trials comes to on average (Bailey and Lopez de Prado 2014)."""
+    if trials < 2:
+        return 0.0
+    z = NormalDist().inv_cdf
+    return (1 - EULER) * z(1 - 1 / trials) + EULER * z(1 - 1 / (trials * math.e))
+
+
+def deflated_sharpe(stats: DataFrame, trials: int) -> DataFrame:
+    """stats (as moments gives them, a row for each trial's returns) with dsr: the probability that the Sharpe ratio
+    exceeds what the best of `trials` trials without skill would show, given the spread of the rows' ratios and the
+    returns' skew and kurtosis. Null where a moment is, or the spread of fewer than two rows."""
+    spread = stats.agg(F.stddev_samp("sharpe").alias("__spread"))  # one row
+    sr, skew, kurt = F.col("sharpe"), F.col("skew"), F.col("kurtosis") + 3
+    z = ratio((sr - F.col("__spread") * expected_maximum(trials)) * F.sqrt(F.col("n") - 1), F.sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr))
+    p = normal_cdf(F.abs(z))
+    return stats.crossJoin(F.broadcast(spread)).withColumn("dsr", F.when(z >= 0, p).otherwise(1 - p)).drop("__spread")
 
 
 def r_squared(rows: DataFrame, actual: str, fitted: str, by: list[str]) -> DataFrame:
     """1 - residual over total sum of squares, over rows that have both; null where actual does not vary."""
     both = rows.dropna(subset=[actual, fitted])
     a, e = F.col(actual), F.col(actual) - F.col(fitted)
-    total = F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(a)
-    return both.groupBy(*by).agg((1 - ratio(F.sum(e * e), total)).alias("r2"))
+    return both.groupBy(*by).agg((1 - ratio(F.sum(e * e), F.var_pop(a) * F.count(a))).alias("r2"))
 
 
 def status_counts(rows: DataFrame, status: str, values: list[str], by: list[str]) -> DataFrame:
@@ -122,14 +179,14 @@ def best_trials(rows: DataFrame, study: str, trial: str, value: str, largest: bo
 
 
 def importances(rows: DataFrame, parameters: list[str], value: str) -> DataFrame:
-    """For each parameter the share of the value's variance that lies between its values (eta squared)."""
-    valued = rows.where(F.col(value).isNotNull())
+    """For each parameter the share of the value's variance that lies between its values (eta squared); null where the
+    value does not vary. Variances within and in all come from Spark's own, which do not cancel."""
     v = F.col(value)
-    long = valued.select(v.alias("v"), F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("level")) for p in parameters])).alias("x")).select("v", "x.*")
-    levels = long.groupBy("parameter", "level").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
-    n, s, ss = F.sum("n"), F.sum("s"), F.sum("ss")
-    between = F.sum(F.col("s") * F.col("s") / F.col("n")) - s * s / n
-    return levels.groupBy("parameter").agg(ratio(between, ss - s * s / n).alias("importance"))
+    long = rows.where(v.isNotNull()).select(v.alias("v"), F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("level")) for p in parameters])).alias("x")).select("v", "x.*")
+    levels = long.groupBy("parameter", "level").agg((F.var_pop("v") * F.count("v")).alias("within"))
+    total = rows.agg((F.var_pop(v) * F.count(v)).alias("total"))  # one row
+    within = levels.groupBy("parameter").agg(F.sum("within").alias("within"))
+    return within.crossJoin(F.broadcast(total)).select("parameter", F.greatest(1 - ratio(F.col("within"), F.col("total")), F.lit(0.0)).alias("importance"))
 
 
 def parallel_rows(rows: DataFrame, columns: list[str], order: list[Column], cap: int) -> DataFrame:
@@ -163,10 +220,10 @@ def feature_clusters(rows: DataFrame, features: list[str], threshold: float = 0.
 OBJECTIVES = {"profit": ("best_value", True), "trials": ("trials", True), "low_cost": ("best_value", False)}
 
 
-def by_objective(rows: DataFrame, mode: str, key: str, most: int = 1000) -> DataFrame:
-    """The `most` first rows by the mode's metric with their rank, ties by key; rows without it come last."""
+def by_objective(rows: DataFrame, mode: str, key: str, most: int | None = None) -> DataFrame:
+    """All rows with their rank by the mode's metric, ties by key; rows without it come last. With most, the first."""
     if mode not in OBJECTIVES:
         raise ValueError(f"unknown objective {mode!r}")
     metric, more = OBJECTIVES[mode]
     order = F.desc_nulls_last(metric) if more else F.asc_nulls_last(metric)
-    return top_ranked(rows, [order, F.col(key)], most)
+    return ranked(rows, [order, F.col(key)], most)

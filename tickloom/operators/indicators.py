@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expressions import corr_guarded, ratio
 
-#: Bars of a chunk of a recursive average.
-CHUNK = 128
-
 
 def series():
     return Window.partitionBy("symbol").orderBy("time")
@@ -84,28 +81,76 @@ def vwap(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"vwap": ratio(F.sum(typical * F.col("tick_volume")).over(run), F.sum("tick_volume").over(run)), "obv": F.sum("__signed").over(run)}).drop("__signed")
 
 
-def recurrence(rows: DataFrame, u: Column, decay: float, out: str) -> DataFrame:
-    """out[t] = decay * out[t - 1] + u[t] for each symbol in time order, starting from 0; a null u counts as 0.
-
-    A recursive average never needs a symbol's whole series at once: inside chunks of CHUNK bars it
-    is a running sum of u * decay ** -k times decay ** k, and a chunk takes over the value at the
-    end of the one before, which is a sum over the few chunks that still weigh 1e-18 of it.
-    """
-    if not 0 < decay < 1:
-        raise ValueError("decay must lie between 0 and 1")
-    rows = rows.withColumn("__i", F.row_number().over(series()) - 1)
-    rows = rows.withColumns({"__c": F.floor(F.col("__i") / CHUNK), "__k": F.col("__i") % CHUNK, "__u": F.coalesce(u.cast("double"), F.lit(0.0))})
-    inside = Window.partitionBy("symbol", "__c").orderBy("__k")
-    power = lambda k: F.pow(F.lit(decay), k)
-    rows = rows.withColumn("__local", F.sum(F.col("__u") * power(-F.col("__k"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * power(F.col("__k")))
-    ends = rows.where(F.col("__k") == CHUNK - 1).select("symbol", (F.col("__c") + 1).alias("__c"), F.col("__local").alias("__end"))
-    whole = decay**CHUNK
-    reach = max(1, math.ceil(math.log(1e-18) / math.log(whole))) if whole > 0 else 1
-    w = Window.partitionBy("symbol").orderBy("__c")
-    carry = sum((F.coalesce(F.lag("__end", j).over(w), F.lit(0.0)) * (whole**j) for j in range(1, reach)), F.col("__end"))
-    carries = ends.withColumn("__carry", carry).select("symbol", "__c", "__carry")
-    rows = rows.join(carries, ["symbol", "__c"], "left")
-    return rows.withColumn(out, F.col("__local") + F.coalesce("__carry", F.lit(0.0)) * power(F.col("__k") + 1)).drop("__i", "__c", "__k", "__u", "__local", "__carry")
+def chunk_bars(decay: float) -> int:
+    """Bars of a chunk: two of them weigh a value down to 1e-18, and powers of the decay in one stay far from overflow."""
+    return max(16, math.ceil(math.log(1e18) / -math.log(decay) / 2))
+
+
+def smoothed_all(bars: DataFrame, averages: dict[str, tuple[Column, float]]) -> DataFrame:
+    """For each name, x and alpha: alpha * x + (1 - alpha) * before, from the first x that counts (null before it).
+    Null and NaN do not count: the average decays over them. alpha lies in (0, 1]; at 1 it is x itself, or the last 0.
+
+    A recursive average never needs a symbol's whole series at once: inside a chunk it is a running sum of
+    u * decay ** -k times decay ** k, and a chunk takes over what the chunks before it came to, of which two weigh.
+    All averages of one chunk length share the sort, and windows alone carry over: the bars are read and dealt once."""
+    for _, alpha in averages.values():
+        if not 0 < alpha <= 1:
+            raise ValueError("alpha must lie in (0, 1]")
+    i, *names = free_names(bars, "i", *(f"x{k}" for k in range(len(averages))), *(f"seen{k}" for k in range(len(averages))))
+    xs, seens = names[: len(averages)], names[len(averages) :]
+    counted = lambda x: F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    rows = bars.withColumns({i: F.row_number().over(series()) - 1, **{c: counted(x) for c, (x, _) in zip(xs, averages.values(), strict=True)}})
+    rows = rows.withColumns({s: F.count(c).over(series().rowsBetween(Window.unboundedPreceding, 0)) for c, s in zip(xs, seens, strict=True)})
+    for group in _chunk_groups([1 - alpha for _, alpha in averages.values()]):
+        own = {name: (F.col(xs[k]), F.col(seens[k]), alpha) for k, (name, (_, alpha)) in enumerate(averages.items()) if k in group}
+        rows = _recursive(rows, i, own)
+    return rows.drop(i, *xs, *seens)
+
+
+def _chunk_groups(decays: list[float]) -> list[set[int]]:
+    """Averages that can share a chunk length: the slowest one's, in which the fastest's powers do not overflow."""
+    order = sorted(range(len(decays)), key=lambda k: -decays[k])
+    groups: list[set[int]] = []
+    for k in order:
+        chunk = chunk_bars(max(decays[g] for g in groups[-1])) if groups else 0
+        if groups and decays[k] > 0 and chunk * -math.log(decays[k]) < 300:
+            groups[-1].add(k)
+        else:
+            groups.append({k})
+    return groups
+
+
+def _recursive(rows: DataFrame, i: str, averages: dict[str, tuple[Column, Column, float]]) -> DataFrame:
+    slowest = max(1 - alpha for *_, alpha in averages.values())
+    u = lambda x, seen, alpha: F.coalesce(F.when((seen == 1) & x.isNotNull(), x).otherwise(alpha * x), F.lit(0.0))
+    if slowest == 0:
+        return rows.withColumns({name: F.when(seen > 0, u(x, seen, alpha)) for name, (x, seen, alpha) in averages.items()})
+    chunk = chunk_bars(slowest)
+    c, k, carry, *local = free_names(rows, "c", "k", "carry", *(f"local{j}" for j in range(len(averages))))
+    rows = rows.withColumns({c: F.floor(F.col(i) / chunk), k: F.col(i) % chunk})
+    inside = Window.partitionBy("symbol", c).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)
+    decays = [1 - alpha for *_, alpha in averages.values()]
+    power = lambda d, e: F.exp(e * math.log(d))
+    rows = rows.withColumns({n: F.sum(u(*a) * power(d, -F.col(k))).over(inside) * power(d, F.col(k)) for n, d, a in zip(local, decays, averages.values(), strict=True)})
+    # what the chunks before came to at their end: first the last one alone, then with what that took over
+    before = Window.partitionBy("symbol").orderBy(c, k).rowsBetween(Window.unboundedPreceding, -1)
+    at_end = lambda values: F.last(F.when(F.col(k) == chunk - 1, F.struct(*values)), ignorenulls=True).over(before)
+    rows = rows.withColumn(carry, at_end([F.col(n).alias(n) for n in local]))
+    taken = lambda n: F.coalesce(F.col(f"{carry}.{n}"), F.lit(0.0))
+    rows = rows.withColumn(carry, at_end([(F.col(n) + d**chunk * taken(n)).alias(n) for n, d in zip(local, decays, strict=True)]))
+    value = {name: F.when(seen > 0, F.col(n) + taken(n) * power(d, F.col(k) + 1)) for (name, (_, seen, _)), n, d in zip(averages.items(), local, decays, strict=True)}
+    return rows.withColumns(value).drop(c, k, carry, *local)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind so many underscores that df has no column of that name (in any case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"__{name}".lower() in have:
+            name = f"_{name}"
+        out.append(f"__{name}")
+        have.add(out[-1].lower())
+    return out
 
 
 def ema(bars: DataFrame, column: str, n: int, out: str) -> DataFrame:
@@ -114,16 +159,11 @@ def ema(bars: DataFrame, column: str, n: int, out: str) -> DataFrame:
 
 
 def smoothed(bars: DataFrame, x: Column, alpha: float, out: str) -> DataFrame:
-    """alpha * x + (1 - alpha) * before, from the first value of x that is not null (null before it)."""
-    bars = bars.withColumn("__x", x)
-    bars = bars.withColumn("__seen", F.count("__x").over(series().rowsBetween(Window.unboundedPreceding, 0)))
-    seeded = F.when((F.col("__seen") == 1) & F.col("__x").isNotNull(), F.col("__x")).otherwise(alpha * F.col("__x"))
-    bars = recurrence(bars, seeded, 1 - alpha, "__y")
-    return bars.withColumn(out, F.when(F.col("__seen") > 0, F.col("__y"))).drop("__x", "__y", "__seen")
+    return smoothed_all(bars, {out: (x, alpha)})
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    bars = ema(ema(bars, "close", fast, "__fast"), "close", slow, "__slow")
+    bars = smoothed_all(bars, {"__fast": (F.col("close"), 2 / (fast + 1)), "__slow": (F.col("close"), 2 / (slow + 1))})
     bars = bars.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
     return ema(bars, "macd", signal, "macd_signal")
 
@@ -133,8 +173,8 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     100 without losses, 50 without any change."""
     change = F.col("close") - F.lag("close").over(series())
     bars = bars.withColumns({"__gain": F.greatest(change, F.lit(0.0)), "__loss": F.greatest(-change, F.lit(0.0)), "__n": F.row_number().over(series())})
-    bars = bars.withColumns({c: F.when(F.col("__n") > 1, F.col(c)) for c in ("__gain", "__loss")})
-    bars = smoothed(smoothed(bars, F.col("__gain"), 1 / n, "__g"), F.col("__loss"), 1 / n, "__l")
+    moved = lambda c: F.when(F.col("__n") > 1, F.col(c))
+    bars = smoothed_all(bars, {"__g": (moved("__gain"), 1 / n), "__l": (moved("__loss"), 1 / n)})
     total = F.col("__g") + F.col("__l")
     return bars.withColumn("rsi", F.when(F.col("__n") > n, F.when(total == 0, 50.0).otherwise(ratio(100 * F.col("__g"), total)))).drop("__gain", "__loss", "__n", "__g", "__l")
 

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.expressions import micros
+from tickloom.sources.catalog import stored
+
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], tiebreak: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], tiebreak: str | None = None, bucket_seconds: int = 86_400) -> DataFrame:
     """left with the values of the last row of right at or before its time, of the same key; null where there is none.
 
-    One shuffle of both sides' union and one sort; no pairs are made. An equal time matches. Of right
-    rows of one key and time the one of the largest tiebreak counts (without tiebreak they must be
-    distinct). Null values of right are values: they are carried like any other.
+    Both sides' union is dealt by key and time bucket, and each bucket begins with the last values of the buckets before,
+    which a row a bucket carries over: no task sorts more of a key than a bucket, and no pairs are made. An equal time
+    matches. Of right rows of one key and time the one of the largest tiebreak counts (without tiebreak they must be
+    distinct). Null values of right are values: they are carried like any other. Right rows without a time are none;
+    left rows without a time find nothing.
     """
+    right = right.where(F.col(ts).isNotNull())
     if tiebreak:
         right = right.groupBy(*by, ts).agg(F.max_by(F.struct(*values), tiebreak).alias("__v")).select(*by, ts, "__v")
     else:
         right = right.select(*by, ts, F.struct(*values).alias("__v"))
+    bucket = F.floor(micros(F.col(ts)) / (bucket_seconds * 1_000_000)).alias("__bucket")
+    kind = right.schema["__v"].dataType
+    none = F.lit(None).cast(kind).alias("__v")
+    lasts = right.groupBy(*by, bucket).agg(F.max_by("__v", ts).alias("__v")).withColumn("__asked", F.lit(False))
+    asked = left.select(*by, bucket).distinct().select(*by, "__bucket", none, F.lit(True).alias("__asked"))
+    earlier = Window.partitionBy(*by).orderBy("__bucket").rangeBetween(Window.unboundedPreceding, -1)
+    carried = asked.unionByName(lasts).withColumn("__v", F.last("__v", ignorenulls=True).over(earlier)).where("__asked and __v IS NOT NULL")
     own = [c for c in left.columns if c not in (*by, ts)]
-    a = left.select(*by, ts, F.lit(1).alias("__side"), F.struct(*own).alias("__row"), F.lit(None).cast(right.schema["__v"].dataType).alias("__v"))
-    b = right.select(*by, ts, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__v")
-    w = Window.partitionBy(*by).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    merged = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    a = left.select(*by, ts, bucket, F.lit(2).alias("__side"), F.struct(*own).alias("__row"), none)
+    no_row, no_time = F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.lit(None).cast(left.schema[ts].dataType).alias(ts)
+    b = right.select(*by, ts, bucket, F.lit(1).alias("__side"), no_row, "__v")
+    c = carried.select(*by, no_time, "__bucket", F.lit(0).alias("__side"), no_row, "__v")
+    w = Window.partitionBy(*by, "__bucket").orderBy(F.asc_nulls_first(ts), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    merged = a.unionByName(b).unionByName(c).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 2")
     return merged.select(*by, ts, *[F.col(f"__row.{c}").alias(c) for c in own], *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
@@ -49,52 +68,92 @@ def not_found(requested: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return requested.join(existing, key, "left_anti")
 
 
+#: Points of a block, when blocks judge each other, and points that judge all others first.
+BLOCK, CHAMPIONS = 4096, 1000
+
+
 def pareto_front(points: DataFrame, key: str, larger: list[str], smaller: list[str]) -> DataFrame:
     """Points that no other one dominates (at least as good in all objectives, better in one).
 
-    Points of equal objectives collapse first. With two objectives no pairs are compared: points that
-    the best of a better stretch of the first objective dominates go in a map-side pass, and a running
-    best over what is left decides. With more, what is left of the same pass is compared pairwise.
+    Points of equal objectives collapse first; points with a null objective are none. With two objectives no pairs are
+    compared: stretches of the first one pass on their best of the second, which drops most points on the map side, and
+    a running best in each stretch decides. With more, each batch drops what it dominates itself, then what the
+    best-ranked CHAMPIONS of all dominate goes, and blocks of what is left judge each other, two at a time in a task.
     """
     goals = [*larger, *smaller]
     sign = {**dict.fromkeys(larger, 1), **dict.fromkeys(smaller, -1)}
     good = points.dropna(subset=goals)
     distinct = good.select(*goals).distinct()
-    first, second = goals[0], goals[1] if len(goals) > 1 else goals[0]
-    up, best_of = sign[first] > 0, F.max if sign[second] > 0 else F.min
+    first = goals[0]
+    up = sign[first] > 0
+    if len(goals) == 1:
+        return good.join(F.broadcast(distinct.agg((F.max if up else F.min)(first).alias(first))), goals, "left_semi")  # one row
+    if len(goals) > 2:
+        return good.join(_front_of_many(distinct, goals, [sign[g] for g in goals]), goals, "left_semi")
+    second = goals[1]
+    best_of = F.max if sign[second] > 0 else F.min
     beats = (lambda a, b: a > b) if sign[second] > 0 else (lambda a, b: a < b)
-    if len(goals) <= 2:
-        edges = sorted(set(distinct.approxQuantile(first, [i / 200 for i in range(201)], 0.002)))
-        stretch = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(first)))
-        marked = distinct.withColumn("__s", stretch)
-        tops = marked.groupBy("__s").agg(best_of(second).alias("__top"))  # a row for each stretch: 202 at most
-        w = Window.orderBy(F.desc("__s") if up else F.asc("__s")).rowsBetween(Window.unboundedPreceding, -1)
-        tops = tops.select("__s", best_of("__top").over(w).alias("__better"))
-        left = marked.join(F.broadcast(tops), "__s").where(F.col("__better").isNull() | beats(F.col(second), F.col("__better")))
-        best = left.groupBy(first).agg(best_of(second).alias(second)) if len(goals) == 2 else left.select(first)
-        w = Window.orderBy(F.desc(first) if up else F.asc(first)).rowsBetween(Window.unboundedPreceding, -1)
-        ahead = best.withColumn("__ahead", best_of(second).over(w))
-        front = ahead.where(F.col("__ahead").isNull() | beats(F.col(second), F.col("__ahead"))).drop("__ahead")
-        return good.join(front, goals, "left_semi")
-    other = distinct.select(*[F.col(g).alias(f"o_{g}") for g in goals])
-    no_worse = [F.col(f"o_{g}") * sign[g] >= F.col(g) * sign[g] for g in goals]
-    strictly = [F.col(f"o_{g}") * sign[g] > F.col(g) * sign[g] for g in goals]
-    dominated = _all(no_worse) & _any(strictly)
-    return good.join(distinct.join(other, dominated, "left_anti"), goals, "left_semi")
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
+    edges = sorted(set(distinct.approxQuantile(first, [i / 200 for i in range(201)], 0.002)))
+    stretch = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(first)))
+    marked = distinct.withColumn("__s", stretch)
+    tops = marked.groupBy("__s").agg(best_of(second).alias("__top"))  # a row for each stretch: 202 at most
+    w = Window.orderBy(F.desc("__s") if up else F.asc("__s")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__s", best_of("__top").over(w).alias("__better"))
+    left = marked.join(F.broadcast(tops), "__s").where(F.col("__better").isNull() | beats(F.col(second), F.col("__better")))
+    best = left.groupBy("__s", first).agg(best_of(second).alias(second))
+    w = Window.partitionBy("__s").orderBy(F.desc(first) if up else F.asc(first)).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = best.withColumn("__ahead", best_of(second).over(w))
+    front = ahead.where(F.col("__ahead").isNull() | beats(F.col(second), F.col("__ahead"))).select(first, second)
+    return good.join(front, goals, "left_semi")
+
+
+def _dominated(points: np.ndarray, judges: np.ndarray) -> np.ndarray:
+    """Which points a judge dominates; more is better."""
+    out = np.zeros(len(points), dtype=bool)
+    for s in range(0, len(judges), 256):
+        own = judges[s : s + 256, None, :]
+        left = np.flatnonzero(~out)
+        out[left] = ((own >= points[None, left]).all(2) & (own > points[None, left]).any(2)).any(0)
     return out
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def _front_of_many(distinct: DataFrame, goals: list[str], signs: list[int]) -> DataFrame:
+    spark = distinct.sparkSession
+    values = lambda batch: np.stack([np.array(batch.column(g), dtype=np.float64) * s for g, s in zip(goals, signs, strict=True)], 1)
+
+    def within_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                own = batch.slice(start, BLOCK)
+                v = values(own)
+                yield own.filter(pa.array(~_dominated(v, v)))
+
+    left = stored(distinct.mapInArrow(within_batches, distinct.schema), "front")
+    spread = left.agg(*[F.struct(F.min(g).alias("low"), F.max(g).alias("high")).alias(g) for g in goals]).first()
+    scale = lambda g, s: (F.col(g) - spread[g].low) * s / ((spread[g].high - spread[g].low) or 1)
+    score = sum((scale(g, s) for g, s in zip(goals, signs, strict=True)), F.lit(0.0)) if spread[goals[0]].low is not None else F.lit(0.0)
+    champions = values(left.orderBy(F.desc(score), *goals).limit(CHAMPIONS).toArrow())
+
+    def by_champions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_dominated(values(batch), judges.value)))
+
+    judges = spark.sparkContext.broadcast(champions)
+    left = stored(left.mapInArrow(by_champions, left.schema), "front")
+    blocks = max(1, -(-left.count() // BLOCK))
+    block = F.pmod(F.xxhash64(*goals), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    judged = left.select(*goals, block.alias("i"), every.alias("j"), F.lit(False).alias("judge"))
+    judging = left.select(*goals, every.alias("i"), block.alias("j"), F.lit(True).alias("judge"))
+
+    def judge(group: pa.Table) -> pa.Table:
+        role = np.array(group.column("judge"))
+        v = values(group)
+        own = group.select(goals).filter(pa.array(~role))
+        return own.filter(pa.array(_dominated(v[~role], v[role])))
+
+    beaten = judged.unionByName(judging).groupBy("i", "j").applyInArrow(judge, left.schema)
+    return left.join(beaten.distinct(), goals, "left_anti")
 
 
 def paired_runs(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -14,8 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.expressions import clamp, ratio
 from tickloom.operators.indicators import series
@@ -44,36 +46,36 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("i", F.row_number().over(series()))
 
 
-def candidate_trades(bars: DataFrame, signals: DataFrame, exits: Exits) -> DataFrame:
+def candidate_trades(bars: DataFrame, signals: DataFrame, exits: Exits, variants: tuple[str, ...] = ()) -> DataFrame:
     """What each signal (symbol, i: the bar it is known at) would trade by itself: entry and exit bar and price, reason,
     and the largest gain and loss on the way (mfe, mae, as shares of the entry price).
 
     bars: numbered ones. A signal meets the `hold` bars after it in an equi-join on (symbol, i), so a
-    group is never larger than that."""
+    group is never larger than that. variants: columns of signals that tell several exit settings of one signal apart;
+    those named stop and target go before those of exits, null for none."""
+    given = lambda name, value: F.col(name) if name in variants else F.lit(value).cast("double")
     entry = bars.select("symbol", (F.col("i") - 1).alias("s"), F.col("open").alias("entry_price"), F.col("time").alias("entry_time"))
-    path = signals.select("symbol", F.col("i").alias("s")).join(entry, ["symbol", "s"])
+    path = signals.select("symbol", F.col("i").alias("s"), *variants).join(entry, ["symbol", "s"])
     path = path.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(exits.hold)))).withColumn("i", F.col("s") + F.col("k"))
     path = path.join(bars.select("symbol", "i", "time", "open", "high", "low", "close"), ["symbol", "i"])
-    one = Window.partitionBy("symbol", "s").orderBy("k")
+    one = Window.partitionBy("symbol", "s", *variants).orderBy("k")
     e = F.col("entry_price")
     peak = F.greatest(e, F.coalesce(F.max("high").over(one.rowsBetween(Window.unboundedPreceding, -1)), e))
-    levels = [e * (1 - exits.stop)] if exits.stop is not None else []
-    trail = peak * (1 - exits.trail) if exits.trail is not None else None
-    stop = F.greatest(*levels, trail) if levels and trail is not None else (levels[0] if levels else trail)
-    tested = path.withColumn("stop", stop if stop is not None else F.lit(None).cast("double"))
-    target = e * (1 + exits.target) if exits.target is not None else F.lit(None).cast("double")
-    last = F.col("k") == F.max("k").over(Window.partitionBy("symbol", "s"))
+    fixed, target = e * (1 - given("stop", exits.stop)), e * (1 + given("target", exits.target))
+    stop = F.greatest(fixed, peak * (1 - F.lit(exits.trail).cast("double")))  # of those there are
+    tested = path.withColumn("stop_at", stop)
+    last = F.col("k") == F.max("k").over(Window.partitionBy("symbol", "s", *variants))
     reason = (
-        F.when(F.col("low") <= F.col("stop"), F.when(F.col("stop") > (levels[0] if levels else F.lit(-1.0)), "trail").otherwise("stop"))
+        F.when(F.col("low") <= F.col("stop_at"), F.when(F.col("stop_at") > F.coalesce(fixed, F.lit(-1.0)), "trail").otherwise("stop"))
         .when(F.col("high") >= target, "target")
         .when(F.col("k") == exits.hold, "time")
         .when(last, "end")
     )
-    price = F.when(reason.isin("stop", "trail"), F.least("open", "stop")).when(reason == "target", F.greatest(F.col("open"), target)).otherwise(F.col("close"))
+    price = F.when(reason.isin("stop", "trail"), F.least("open", "stop_at")).when(reason == "target", F.greatest(F.col("open"), target)).otherwise(F.col("close"))
     tested = tested.withColumns({"reason": reason, "price": price, "top": F.max("high").over(one), "bottom": F.min("low").over(one)})
     at = F.when(F.col("reason").isNotNull(), F.col("k"))
     first = lambda c: F.min_by(c, at)
-    return tested.groupBy("symbol", "s", "entry_time", "entry_price").agg(
+    return tested.groupBy("symbol", "s", *variants, "entry_time", "entry_price").agg(
         first("i").alias("exit_i"), first("time").alias("exit_time"), first("price").alias("exit_price"), first("reason").alias("reason"),
         (ratio(first("top"), F.first("entry_price")) - 1).alias("mfe"), (1 - ratio(first("bottom"), F.first("entry_price"))).alias("mae"),
     )
@@ -139,12 +141,13 @@ def equity_curve(trades: DataFrame, by: str, order: list[str], start: float) ->
     return curve.withColumn("drawdown", 1 - ratio(F.col("equity"), F.col("peak")))
 
 
-def performance(trades: DataFrame, by: list[str]) -> DataFrame:
-    """Trades, total, win rate, profit factor (null without losses) and Sharpe ratio of the trades' returns."""
+def performance(trades: DataFrame, by: str, order: list[str], start: float) -> DataFrame:
+    """Trades, total, win rate, profit factor (null without losses), Sharpe ratio of the trades' returns, and the largest
+    drawdown of the equity curve that begins with start."""
     gain, loss = F.sum(F.greatest("pnl", F.lit(0.0))), F.sum(F.greatest(-F.col("pnl"), F.lit(0.0)))
-    return trades.groupBy(*by).agg(
+    return equity_curve(trades, by, order, start).groupBy(by).agg(
         F.count("*").alias("trades"), F.sum("pnl").alias("total"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
-        ratio(gain, loss).alias("profit_factor"), ratio(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"),
+        ratio(gain, loss).alias("profit_factor"), ratio(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"), F.max("drawdown").alias("max_drawdown"),
     )
 
 
@@ -154,30 +157,41 @@ def excursions(trades: DataFrame) -> DataFrame:
     return trades.withColumns({"capture": ratio(ret, F.col("mfe")), "giveback": F.col("mfe") - ret})
 
 
-POSITION = "account long, quantity double, average double, realized double, fills long"
-
-
 def positions(fills: DataFrame) -> DataFrame:
-    """Each account's position after its fills (account, n: their order, signed quantity, price) at average cost.
-
-    Adding to a position averages its price; reducing it realizes the difference; going through zero opens
-    the rest at the fill's price. Rows stream through sorted partitions with one position as the state."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        account, state, done = None, None, []
-        for rows in batches:
-            for a, dq, p in zip(rows["account"], rows["quantity"], rows["price"], strict=True):
-                if a != account:
-                    if state:
-                        done.append((account, *state))
-                    account, state = a, (0.0, 0.0, 0.0, 0)
-                state = after_fill(*state, dq, p)
-            yield pd.DataFrame(done, columns=["account", "quantity", "average", "realized", "fills"])
+    """Each account's position after its fills (account, n: their order, time, signed quantity, price) at average cost:
+    account, quantity, average, realized, fills, is_open, opened_at, closed_at (null while it is open).
+
+    Adding to a position averages its price; reducing it realizes the difference; going through zero opens the rest at
+    the fill's price and time. A fill without quantity or price is none; null accounts are one account. Rows stream
+    through sorted partitions with one position as the state."""
+    kind = fills.schema
+    schema = T.StructType([T.StructField("account", kind["account"].dataType), *(T.StructField(c, T.DoubleType()) for c in ("quantity", "average", "realized")), T.StructField("fills", T.LongType()), *(T.StructField(c, kind["time"].dataType) for c in ("opened_at", "closed_at"))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # (account, state, opened, closed)
+        for batch in batches:
             done = []
-        if state:
-            yield pd.DataFrame([(account, *state)], columns=["account", "quantity", "average", "realized", "fills"])
-
-    return fills.select("account", "n", "quantity", "price").repartition("account").sortWithinPartitions("account", "n").mapInPandas(fold, POSITION)
+            for a, t, dq, p in zip(*(batch.column(c).to_pylist() for c in ("account", "time", "quantity", "price")), strict=True):
+                if now is None or a != now[0]:
+                    done += [now] if now else []
+                    now = (a, (0.0, 0.0, 0.0, 0), None, None)
+                before, state = now[1][0], after_fill(*now[1], dq, p)
+                opened = t if state[0] and before * state[0] <= 0 else now[2]
+                now = (a, state, opened, None if state[0] else t if before else now[3])
+            yield _position_rows(done, batch.schema)
+        if now:
+            yield _position_rows([now], batch.schema)
+
+    good = fills.select("account", "n", "time", "quantity", "price").dropna(subset=["quantity", "price"])
+    out = good.repartition("account").sortWithinPartitions("account", "n").mapInArrow(fold, schema)
+    return out.select("account", "quantity", "average", "realized", "fills", (F.col("quantity") != 0).alias("is_open"), "opened_at", "closed_at")
+
+
+def _position_rows(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    rows = [(a, *state, opened, closed) for a, state, opened, closed in done]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    kinds = [schema.field("account").type, pa.float64(), pa.float64(), pa.float64(), pa.int64(), schema.field("time").type, schema.field("time").type]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["account", "quantity", "average", "realized", "fills", "opened_at", "closed_at"])
 
 
 def after_fill(q: float, average: float, realized: float, fills: int, dq: float, p: float) -> tuple[float, float, float, int]:

@@ -97,27 +97,48 @@ def leaderboard(t):
 
 @query("""
     WITH v AS (SELECT o_custkey, sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS a, sum(o_totalprice) FILTER (o_orderpriority = '2-HIGH') AS b FROM orders GROUP BY 1),
-    s AS (SELECT count(b - a) AS n, avg(b - a) AS mean_delta, avg(b - a) / nullif(stddev_samp(b - a), 0) AS d FROM v)
-    SELECT n, round(mean_delta, 6) AS mean_delta, round(d, 6) AS cohens_d, round(d * sqrt(n), 6) AS t FROM s
+    s AS (SELECT count(b - a) AS n, avg(b - a) AS mean_delta, avg(b - a) / nullif(stddev_samp(b - a), 0) AS d FROM v),
+    h AS (SELECT *, atan(abs(d * sqrt(n)) / sqrt(n - 1)) AS theta, (n - 1) % 2 = 1 AS odd FROM s),
+    k AS (SELECT *, list_reduce(list_prepend({'s': 0.0::DOUBLE, 't': CASE WHEN odd THEN cos(theta) ELSE 1.0::DOUBLE END, 'k': 0::BIGINT}, list_transform(range(1, CAST((n - 1 - CASE WHEN odd THEN 1 ELSE 0 END) // 2 AS BIGINT) + 1), lambda i: {'s': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'k': i::BIGINT})),
+            lambda x, y: {'s': x.s + x.t, 't': x.t * cos(theta) * cos(theta) * CASE WHEN odd THEN 2.0::DOUBLE * y.k / (2 * y.k + 1) ELSE (2.0::DOUBLE * y.k - 1) / (2 * y.k) END, 'k': y.k}).s AS total FROM h)
+    SELECT n, round(mean_delta, 6) AS mean_delta, round(d, 6) AS cohens_d, round(d * sqrt(n), 6) AS t,
+           round(greatest(1 - CASE WHEN odd THEN (theta + sin(theta) * total) * 2 / pi() ELSE sin(theta) * total END, 0), 6) AS p_value FROM k
 """)
 def paired_delta(t):
     by = lambda p: F.sum(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice")))
     pairs = t("orders").groupBy("o_custkey").agg(by("1-URGENT").alias("a"), by("2-HIGH").alias("b"))
-    return X.paired_delta(pairs, "a", "b").select("n", *r("mean_delta", "cohens_d", "t"))
+    return X.paired_delta(pairs, "a", "b").select("n", *r("mean_delta", "cohens_d", "t", "p_value"))
 
 
-@query(f"""
-    WITH {FEATURES}, m AS (SELECT symbol, count(ret) AS n, avg(ret) AS m1, stddev_samp(ret) AS sd, avg(ret * ret) AS m2, avg(ret * ret * ret) AS m3, avg(ret * ret * ret * ret) AS m4 FROM feat GROUP BY symbol),
-    c AS (SELECT *, m2 - m1 * m1 AS v, m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1 AS t, m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1 AS f FROM m)
-    SELECT symbol, n, round(m1, 6) AS mean, round(sd, 6) AS sd, round(t / nullif(v * sqrt(v), 0), 5) AS skew, round(f / nullif(v * v, 0) - 3, 4) AS kurtosis, round(m1 / nullif(sd, 0), 6) AS sharpe FROM c
-""")
+MOMENTS = f"""{FEATURES}, m AS (SELECT symbol, avg(ret) AS mean FROM feat GROUP BY symbol),
+    c AS (SELECT symbol, ret, ret - mean AS d, mean FROM feat JOIN m USING (symbol)),
+    mom AS (SELECT symbol, count(ret) AS n, any_value(mean) AS mean, stddev_samp(ret) AS sd, avg(d * d * d) / nullif(pow(avg(d * d), 1.5), 0) AS skew, avg(d * d * d * d) / nullif(avg(d * d) * avg(d * d), 0) - 3 AS kurtosis,
+        any_value(mean) / nullif(stddev_samp(ret), 0) AS sharpe FROM c GROUP BY symbol)"""
+
+
+@query(f"WITH {MOMENTS} SELECT symbol, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(skew, 5) AS skew, round(kurtosis, 4) AS kurtosis, round(sharpe, 6) AS sharpe FROM mom")
 def return_moments(t):
     return X.moments(feats(t), "ret", ["symbol"]).select("symbol", "n", *r("mean", "sd"), F.round("skew", 5).alias("skew"), F.round("kurtosis", 4).alias("kurtosis"), *r("sharpe"))
 
 
+TRIALS = 20
+
+
+@query(f"""
+    WITH {MOMENTS}, spr AS (SELECT *, stddev_samp(sharpe) OVER () AS spread FROM mom),
+    z AS (SELECT symbol, sharpe, (sharpe - spread * {X.expected_maximum(TRIALS)!r}::DOUBLE) * sqrt(n - 1) / nullif(sqrt(1 - skew * sharpe + (kurtosis + 2) / 4 * sharpe * sharpe), 0) AS z FROM spr),
+    k AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS k FROM z),
+    p AS (SELECT *, 1 - exp(-z * z / 2) / sqrt(2 * pi()) * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE)))) AS p FROM k)
+    SELECT symbol, round(sharpe, 6) AS sharpe, round(CASE WHEN z >= 0 THEN p ELSE 1 - p END, 6) AS dsr FROM p
+""")
+def deflated_sharpe(t):
+    return X.deflated_sharpe(X.moments(feats(t), "ret", ["symbol"]), TRIALS).select("symbol", *r("sharpe", "dsr"))
+
+
 @query("""
-    WITH f AS (SELECT l_returnflag, l_extendedprice AS y, p_retailprice * l_quantity AS fit FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT l_returnflag, round(1 - sum((y - fit) * (y - fit)) / nullif(sum(y * y) - sum(y) * sum(y) / count(y), 0), 6) AS r2 FROM f GROUP BY 1
+    WITH f AS (SELECT l_returnflag, l_extendedprice AS y, p_retailprice * l_quantity AS fit FROM lineitem JOIN part ON l_partkey = p_partkey),
+    m AS (SELECT l_returnflag, avg(y) AS mean FROM f WHERE y IS NOT NULL AND fit IS NOT NULL GROUP BY 1)
+    SELECT l_returnflag, round(1 - sum((y - fit) * (y - fit)) / nullif(sum((y - mean) * (y - mean)), 0), 6) AS r2 FROM f JOIN m USING (l_returnflag) WHERE y IS NOT NULL AND fit IS NOT NULL GROUP BY 1
 """)
 def reconstruction_r2(t):
     rows = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"), "l_partkey").select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("p_retailprice") * F.col("l_quantity")).alias("fit"))
@@ -141,18 +162,19 @@ def best_trials(t):
     return best(t)
 
 
-@query(f"WITH {BEST} SELECT *, row_number() OVER (ORDER BY best_value ASC NULLS LAST, study) AS rank FROM best QUALIFY rank <= 1000")
+@query(f"WITH {BEST} SELECT *, row_number() OVER (ORDER BY best_value ASC NULLS LAST, study) AS rank FROM best")
 def objective_order(t):
     return X.by_objective(best(t), "low_cost", "study")
 
 
 def _importance(p: str) -> str:
-    return f"SELECT '{p}' AS parameter, {p}::VARCHAR AS level, count(*) AS n, sum(p_retailprice) AS s, sum(p_retailprice * p_retailprice) AS ss FROM part GROUP BY 2"
+    return f"SELECT '{p}' AS parameter, {p}::VARCHAR AS level, count(*) AS n, avg(p_retailprice) AS mean FROM part GROUP BY 2"
 
 
 @query(f"""
-    WITH l AS ({_importance('p_size')} UNION ALL {_importance('p_brand')} UNION ALL {_importance('p_type')})
-    SELECT parameter, round((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / nullif(sum(ss) - sum(s) * sum(s) / sum(n), 0), 6) AS importance FROM l GROUP BY 1
+    WITH l AS ({_importance('p_size')} UNION ALL {_importance('p_brand')} UNION ALL {_importance('p_type')}), g AS (SELECT avg(p_retailprice) AS mean FROM part),
+    w AS (SELECT sum((p_retailprice - mean) * (p_retailprice - mean)) AS total FROM part, g)
+    SELECT parameter, round(sum(n * (l.mean - g.mean) * (l.mean - g.mean)) / nullif(any_value(total), 0), 6) AS importance FROM l, g, w GROUP BY 1
 """)
 def importances(t):
     return X.importances(t("part"), ["p_size", "p_brand", "p_type"], "p_retailprice").select("parameter", *r("importance"))
@@ -163,6 +185,17 @@ def parallel_coordinates(t):
     return X.parallel_rows(t("part"), ["p_partkey", "p_size", "p_brand", "p_retailprice"], [F.desc("p_retailprice"), F.col("p_partkey")], 500)
 
 
-@query()
+CLUSTERED = ["ret", "gap", "roc10", "vol"]
+_PAIRS = [(a, b) for i, a in enumerate(CLUSTERED) for b in CLUSTERED[i + 1 :]]
+
+
+@query(f"""
+    WITH RECURSIVE {FEATURES}, f AS (SELECT feat.*, pct.vol FROM feat JOIN pct USING (symbol, time)),
+    c AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b)} AS c FROM f" for a, b in _PAIRS)}),
+    e AS (SELECT a, b FROM c WHERE abs(c) >= 0.5 UNION ALL SELECT b, a FROM c WHERE abs(c) >= 0.5),
+    n AS (SELECT unnest({CLUSTERED!r}) AS feature),
+    reach(feature, root) AS (SELECT feature, feature FROM n UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.feature)
+    SELECT feature, min(root) AS cluster FROM reach GROUP BY feature
+""")
 def feature_clusters(t):
-    return X.feature_clusters(feats(t), ["ret", "gap", "roc10", "vol"], 0.5)
+    return X.feature_clusters(feats(t), CLUSTERED, 0.5)

@@ -65,9 +65,12 @@ def last_bars(t):
     return B.last_n(hour_bars(t), 50, ["symbol"], [F.desc("time")])
 
 
-@query(f"WITH {bars_sql('day')} SELECT symbol, list(time ORDER BY time) AS time, list(open ORDER BY time) AS open, list(close ORDER BY time) AS close FROM bars GROUP BY symbol")
+@query(f"""
+    WITH {bars_sql('day')}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY time) - 1) // 20 AS page FROM bars)
+    SELECT symbol, page, list(epoch_us(time) ORDER BY time) AS time, list(open ORDER BY time) AS open, list(close ORDER BY time) AS close FROM n GROUP BY symbol, page
+""")
 def chart_payload(t):
-    return B.chart_payload(B.ohlcv(ticks(t), "day"), ["open", "close"])
+    return B.chart_payload(B.ohlcv(ticks(t), "day"), ["open", "close"], 20)
 
 
 MANIFESTS = """manifests AS (

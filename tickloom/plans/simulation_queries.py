@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import features as X
@@ -95,16 +96,20 @@ def transaction_costs(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.round(S.costs(F.col("l_extendedprice"), F.col("l_quantity"), 2.5, 0.35), 8).alias("cost"))
 
 
-@query(f"WITH RECURSIVE {FIXED_SQL}, {TAKEN_SQL}, {PNL_SQL} SELECT symbol, count(*) AS trades, round(sum(pnl), 6) AS total, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, round(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 6) AS profit_factor, round(avg(ret) / nullif(stddev_samp(ret), 0), 6) AS sharpe FROM ret GROUP BY symbol")
-def performance(t):
-    return S.performance(taken(t), ["symbol"]).select("symbol", "trades", *r("total", "win_rate", "profit_factor", "sharpe"))
+CURVE_SQL = """e AS (SELECT *, 1000 + sum(pnl) OVER (PARTITION BY symbol ORDER BY s ROWS UNBOUNDED PRECEDING) AS equity FROM ret),
+    curve AS (SELECT *, greatest(1000, max(equity) OVER (PARTITION BY symbol ORDER BY s ROWS UNBOUNDED PRECEDING)) AS peak FROM e)"""
 
 
 @query(f"""
-    WITH RECURSIVE {FIXED_SQL}, {TAKEN_SQL}, {PNL_SQL}, e AS (SELECT *, 1000 + sum(pnl) OVER (PARTITION BY symbol ORDER BY s ROWS UNBOUNDED PRECEDING) AS equity FROM ret),
-    p AS (SELECT *, greatest(1000, max(equity) OVER (PARTITION BY symbol ORDER BY s ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
-    SELECT symbol, exit_time, round(equity, 6) AS equity, round(peak, 6) AS peak, round(1 - equity / nullif(peak, 0), 6) AS drawdown FROM p
+    WITH RECURSIVE {FIXED_SQL}, {TAKEN_SQL}, {PNL_SQL}, {CURVE_SQL}
+    SELECT symbol, count(*) AS trades, round(sum(pnl), 6) AS total, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, round(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 6) AS profit_factor,
+           round(avg(ret) / nullif(stddev_samp(ret), 0), 6) AS sharpe, round(max(1 - equity / nullif(peak, 0)), 6) AS max_drawdown FROM curve GROUP BY symbol
 """)
+def performance(t):
+    return S.performance(taken(t), "symbol", ["s"], 1000.0).select("symbol", "trades", *r("total", "win_rate", "profit_factor", "sharpe", "max_drawdown"))
+
+
+@query(f"WITH RECURSIVE {FIXED_SQL}, {TAKEN_SQL}, {PNL_SQL}, {CURVE_SQL} SELECT symbol, exit_time, round(equity, 6) AS equity, round(peak, 6) AS peak, round(1 - equity / nullif(peak, 0), 6) AS drawdown FROM curve")
 def drawdown(t):
     return S.equity_curve(taken(t), "symbol", ["s"], 1000.0).select("symbol", "exit_time", *r("equity", "peak", "drawdown"))
 
@@ -157,18 +162,22 @@ def account_balance(t):
     return t("orders").groupBy(F.col("o_custkey").alias("account")).agg((F.lit(1000).cast("decimal(20,2)") + F.sum(amount)).cast("decimal(38,2)").cast("string").alias("balance"))
 
 
-@query("""
-    WITH f AS (SELECT o_custkey AS account, o_orderkey AS n, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (1 + o_orderkey % 5)::DOUBLE AS dq, o_totalprice AS p FROM orders),
-    l AS (SELECT account, count(*) AS fills, list_prepend({'q': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'dq': 0.0::DOUBLE, 'p': 0.0::DOUBLE}, list({'q': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'dq': dq, 'p': p} ORDER BY n)) AS x FROM f GROUP BY 1),
+_FILL0 = "{'q': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'o': NULL::TIMESTAMP, 'c': NULL::TIMESTAMP, 'dq': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 't': NULL::TIMESTAMP}"
+_TIMES = """'o': CASE WHEN s.q + y.dq <> 0 AND s.q * (s.q + y.dq) <= 0 THEN y.t ELSE s.o END, 'c': CASE WHEN s.q + y.dq <> 0 THEN NULL WHEN s.q <> 0 THEN y.t ELSE s.c END, 'dq': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 't': NULL::TIMESTAMP"""
+
+
+@query(f"""
+    WITH f AS (SELECT o_custkey AS account, o_orderkey AS n, o_orderdate AS t, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (1 + o_orderkey % 5)::DOUBLE AS dq, o_totalprice AS p FROM orders WHERE o_totalprice IS NOT NULL AND o_orderkey IS NOT NULL),
+    l AS (SELECT account, count(*) AS fills, list_prepend({_FILL0}, list({{'q': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'o': NULL::TIMESTAMP, 'c': NULL::TIMESTAMP, 'dq': dq, 'p': p, 't': t::TIMESTAMP}} ORDER BY n)) AS x FROM f GROUP BY 1),
     d AS (SELECT account, fills, list_reduce(x, lambda s, y: CASE WHEN s.q * y.dq >= 0
-            THEN {'q': s.q + y.dq, 'a': CASE WHEN s.q + y.dq = 0 THEN 0 ELSE (s.q * s.a + y.dq * y.p) / (s.q + y.dq) END, 'r': s.r, 'dq': 0.0::DOUBLE, 'p': 0.0::DOUBLE}
-            ELSE {'q': s.q + y.dq, 'a': CASE WHEN (s.q + y.dq) * s.q > 0 THEN s.a WHEN s.q + y.dq <> 0 THEN y.p ELSE 0 END, 'r': s.r + least(abs(s.q), abs(y.dq)) * sign(s.q) * (y.p - s.a), 'dq': 0.0::DOUBLE, 'p': 0.0::DOUBLE} END) AS z FROM l)
-    SELECT account, z.q AS quantity, round(z.a, 6) AS average, round(z.r, 6) AS realized, fills FROM d
+            THEN {{'q': s.q + y.dq, 'a': CASE WHEN s.q + y.dq = 0 THEN 0 ELSE (s.q * s.a + y.dq * y.p) / (s.q + y.dq) END, 'r': s.r, {_TIMES}}}
+            ELSE {{'q': s.q + y.dq, 'a': CASE WHEN (s.q + y.dq) * s.q > 0 THEN s.a WHEN s.q + y.dq <> 0 THEN y.p ELSE 0 END, 'r': s.r + least(abs(s.q), abs(y.dq)) * sign(s.q) * (y.p - s.a), {_TIMES}}} END) AS z FROM l)
+    SELECT account, z.q AS quantity, round(z.a, 6) AS average, round(z.r, 6) AS realized, fills, z.q <> 0 AS is_open, z.o AS opened_at, z.c AS closed_at FROM d
 """)
 def positions(t):
     k = F.col("o_orderkey")
-    f = t("orders").select(F.col("o_custkey").alias("account"), k.alias("n"), (F.when(k % 3 == 0, -1).otherwise(1) * (1 + k % 5)).cast("double").alias("quantity"), F.col("o_totalprice").alias("price"))
-    return S.positions(f).select("account", "quantity", *r("average", "realized"), "fills")
+    f = t("orders").select(F.col("o_custkey").alias("account"), k.alias("n"), F.col("o_orderdate").alias("time"), (F.when(k % 3 == 0, -1).otherwise(1) * (1 + k % 5)).cast("double").alias("quantity"), F.col("o_totalprice").alias("price"))
+    return S.positions(f).select("account", "quantity", *r("average", "realized"), "fills", "is_open", "opened_at", "closed_at")
 
 
 WIN = """bounds AS (SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS s, CAST(date_trunc('day', max(ts)) AS TIMESTAMP) + INTERVAL 1 DAY AS e FROM events),
@@ -245,35 +254,40 @@ def exit_presets(t):
     return WF.presets(t("part").select(F.col("p_brand").alias("brand")).distinct(), PRESETS, baseline=True)
 
 
-def _preset_sql(name: str, stop: str, target: str) -> str:
-    return trades_sql(f"e * (1 - {stop}::DOUBLE)", f"e * (1 - {stop}::DOUBLE)", f"e * (1 + {target}::DOUBLE)").split("nb AS (", 1)[1].split("),", 1)[1].replace("path", f"path_{name}").replace("pk AS (", f"pk_{name} AS (").replace("FROM pk", f"FROM pk_{name}").replace("lv", f"lv_{name}").replace("hit", f"hit_{name}").replace("trades AS (", f"tr_{name} AS (")
+SPACE = {"stop": {"low": 0.1, "high": 0.3, "step": 0.1}, "target": {"choices": [0.2, 0.4, 0.6]}}
+_GRID_SQL = trades_sql("e * (1 - stop_x)", "e * (1 - stop_x)", "e * (1 + target_x)", first="""
+    , gr AS (SELECT round(0.1::DOUBLE + i * 0.1::DOUBLE, 9) AS stop_x, target_x FROM unnest(generate_series(0, 2)) AS a(i), (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) AS b(target_x))""")
+# each signal's path once for each point of the grid
+_GRID_SQL = _GRID_SQL.replace("SELECT s.symbol, s.i AS s,", "SELECT gr.stop_x, gr.target_x, s.symbol, s.i AS s,").replace("WHERE s.signal = 1)", "CROSS JOIN gr WHERE s.signal = 1)")
+_GRID_SQL = _GRID_SQL.replace("PARTITION BY symbol, s", "PARTITION BY symbol, s, stop_x, target_x").replace("trades AS (SELECT symbol, s,", "trades AS (SELECT stop_x, target_x, symbol, s,")
 
 
 @query(f"""
-    WITH {bars_sql()}, {CROSS}, nb AS (SELECT *, row_number() {W}) AS i FROM x), {_preset_sql('tight', '0.1', '0.2')}, {_preset_sql('wide', '0.3', '0.6')}, {WIN}, {PARTS},
-    al AS (SELECT 'tight' AS preset, * FROM tr_tight UNION ALL SELECT 'wide', * FROM tr_wide),
-    z AS (SELECT a.preset, p.index, p.part, avg(exit_price / nullif(entry_price, 0) - 1) AS score, count(*) AS n FROM al a JOIN parts p ON a.entry_time >= p.a AND a.entry_time < p.b GROUP BY 1, 2, 3),
-    best AS (SELECT index, preset, score FROM z WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY index ORDER BY round(score, 9) DESC, preset) = 1)
-    SELECT b.index, b.preset AS best_preset, round(b.score, 6) AS in_sample, round(t.score, 6) AS out_of_sample, coalesce(t.n, 0) AS trades FROM best b LEFT JOIN z t ON t.index = b.index AND t.preset = b.preset AND t.part = 'test'
+    WITH {_GRID_SQL}, {WIN}, {PARTS},
+    z AS (SELECT p.index, p.part, a.stop_x, a.target_x, avg(exit_price / nullif(entry_price, 0) - 1) AS score, count(*) AS n FROM trades a JOIN parts p ON a.entry_time >= p.a AND a.entry_time < p.b GROUP BY 1, 2, 3, 4),
+    best AS (SELECT * FROM z WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY index ORDER BY round(score, 9) DESC, stop_x, target_x) = 1),
+    j AS (SELECT b.index, b.stop_x, b.target_x, b.score AS i, t.score AS o, coalesce(t.n, 0) AS trades FROM best b LEFT JOIN z t ON t.index = b.index AND t.stop_x = b.stop_x AND t.target_x = b.target_x AND t.part = 'test'),
+    f AS (SELECT *, round(o / nullif(i, 0), 6) AS e FROM j)
+    SELECT index, stop_x AS stop, target_x AS target, round(i, 6) AS in_sample, round(o, 6) AS out_of_sample, trades, e AS efficiency,
+           list_sort(list_filter([CASE WHEN trades < 20 THEN 'too_few_trades' END, CASE WHEN e IS NULL OR e < 0.5 OR e > 2 THEN 'efficiency_out_of_band' END], lambda x: x IS NOT NULL)) AS flags FROM f
 """)
 def walkforward_search(t):
-    """Walk-forward search over exit presets: the best in training of each window, and what it does in the test."""
+    """Walk-forward search over a grid of exits: the best point in training of each window, what it does in the test, and
+    the gates it fails. Bars and signals are made once; each signal meets the whole grid."""
     signals, bars = signals_and_bars(t)
-    trades = None
-    for v in PRESETS:
-        own = S.candidate_trades(bars, signals, S.Exits(24, v["stop"], v["target"])).withColumn("preset", F.lit(v["preset"]))
-        trades = own if trades is None else trades.unionByName(own)
-    trades = trades.withColumn("ret", F.try_divide("exit_price", "entry_price") - 1)
-    z = WF.split(trades, "entry_time", wf_windows(t)).groupBy("index", "part", "preset").agg(F.avg("ret").alias("score"), F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("index").orderBy(F.desc(F.round("score", 9)), "preset")
-    best = z.where("part = 'train'").withColumn("place", F.row_number().over(w)).where("place = 1").select("index", F.col("preset").alias("best_preset"), F.col("score").alias("in_sample"))
-    test = z.where("part = 'test'").select("index", F.col("preset").alias("best_preset"), F.col("score").alias("out_of_sample"), "n")
-    return best.join(test, ["index", "best_preset"], "left").select("index", "best_preset", *r("in_sample", "out_of_sample"), F.coalesce("n", F.lit(0)).alias("trades"))
+    points = WF.grid(bars.sparkSession, SPACE)  # its size is fixed by its axes
+    trades = S.candidate_trades(bars, signals.crossJoin(F.broadcast(points)), S.Exits(24), ("stop", "target")).withColumn("ret", F.try_divide("exit_price", "entry_price") - 1)
+    z = WF.split(trades, "entry_time", wf_windows(t)).groupBy("index", "part", "stop", "target").agg(F.avg("ret").alias("score"), F.count("*").alias("n"))
+    # a row for each window and point: the test's figures ride along with the training's
+    part = lambda p, c: F.max(F.when(F.col("part") == p, F.col(c)))
+    both = z.groupBy("index", "stop", "target").agg(part("train", "score").alias("in_sample"), part("test", "score").alias("out_of_sample"), F.coalesce(part("test", "n"), F.lit(0)).alias("trades"))
+    w = Window.partitionBy("index").orderBy(F.desc(F.round("in_sample", 9)), "stop", "target")
+    best = both.where("in_sample IS NOT NULL").withColumn("place", F.row_number().over(w)).where("place = 1")
+    judged = best.withColumns({"efficiency": F.round(F.try_divide("out_of_sample", "in_sample"), 6), "n_windows": F.lit(1)})
+    return WF.gate_flags(judged, WF.Gates(20, 1, (0.5, 2.0))).select("index", "stop", "target", *r("in_sample", "out_of_sample"), "trades", "efficiency", "flags")
 
 
 @query("WITH s AS (SELECT symbol, score FROM (SELECT event_type AS symbol, round(avg(value), 6) AS score FROM events GROUP BY 1)) SELECT *, row_number() OVER (ORDER BY score DESC, symbol) AS rank FROM s")
 def candidate_rank(t):
     s = ticks(t).groupBy("symbol").agg(F.round(F.avg("price"), 6).alias("score"))
-    return X.top_ranked(s, [F.desc("score"), F.col("symbol")], 1000)
+    return X.ranked(s, [F.desc("score"), F.col("symbol")])

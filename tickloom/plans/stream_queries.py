@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
+from tickloom.operators import simulation
 from tickloom.plans.registry import bars_sql, query, stream_query
 from tickloom.plans.select_queries import hour_bars
-from tickloom.plans.simulation_queries import FIXED_SQL, all_trades
+from tickloom.plans.simulation_queries import CURVE_SQL, FIXED_SQL, PNL_SQL, TAKEN_SQL, all_trades, taken
 from tickloom.session import shared_dir
 from tickloom.sources import catalog
 from tickloom.streaming import streams as ST
@@ -45,6 +46,35 @@ def stream_signals(spark, sf_dir):
     return ST.run_signals(s, f"{shared_dir(spark)}/tickloom-signals-{uuid.uuid4().hex}").drop("batch")
 
 
+@query("""
+    WITH e AS (SELECT event_type AS topic, strftime(ts, '%Y-%m-%d') AS epoch, event_id AS seq, user_id::VARCHAR AS consumer FROM events),
+    c AS (SELECT consumer, topic, max(epoch) AS epoch, arg_max(seq, (epoch, seq)) AS seq FROM e GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY epoch DESC, seq DESC) AS recency FROM e),
+    h AS (SELECT topic, max(epoch) AS epoch, max(seq) FILTER (recency = 1) AS head FROM r GROUP BY 1),
+    o AS (SELECT r.topic, min(r.seq) AS oldest FROM r JOIN h ON h.topic = r.topic AND h.epoch = r.epoch WHERE recency <= 200 GROUP BY 1),
+    s AS (SELECT c.consumer, c.topic, CASE WHEN c.epoch <> h.epoch THEN 'epoch_changed' WHEN c.seq + 1 < oldest THEN 'cursor_expired' WHEN head - c.seq > 100 THEN 'lagging' END AS signal,
+                 c.epoch AS previous_epoch, h.epoch AS new_epoch, c.seq AS cursor FROM c JOIN h USING (topic) JOIN o USING (topic))
+    SELECT consumer, topic, signal, CASE WHEN signal = 'epoch_changed' THEN previous_epoch END AS previous_epoch, CASE WHEN signal = 'epoch_changed' THEN new_epoch END AS new_epoch,
+           CASE WHEN signal = 'cursor_expired' THEN cursor::VARCHAR END AS cursor, CASE WHEN signal = 'lagging' THEN cursor + 1 END AS from_seq FROM s WHERE signal IS NOT NULL
+""")
+def cursor_signals(t):
+    """What each consumer's last position in a topic means, with the 200 newest messages of a topic's epoch retained."""
+    sent = t("events").select(F.col("event_type").alias("topic"), F.date_format("ts", "yyyy-MM-dd").alias("epoch"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("consumer"))
+    last = F.max(F.struct("epoch", "seq")).alias("at")
+    cursors = sent.groupBy("consumer", "topic").agg(last).select("consumer", "topic", "at.epoch", "at.seq")
+    return ST.cursor_signals(sent.select("topic", "epoch", "seq"), cursors, retained=200, lag=100)
+
+
+@stream_query(f"""
+    WITH {bars_sql()}, b AS (SELECT * FROM bars WHERE time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
+    SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 24
+""")
+def stream_window(spark, sf_dir):
+    """The last 24 bars of each symbol that the stream has emitted."""
+    bars = ST.streaming_bars(ST.tick_stream(spark, f"{sf_dir}/events.parque[t]"))
+    return ST.run_window(bars, 24, f"{shared_dir(spark)}/tickloom-window-{uuid.uuid4().hex}")
+
+
 def envelopes(t):
     e = t("events")
     payload = F.to_json(F.struct("value", "props"))
@@ -98,8 +128,15 @@ def delete_series(t):
     rows = B.resample(hour_bars(t), "day")
     spark, path = rows.sparkSession, _folder(rows.sparkSession)
     catalog.write_series(rows, path)
-    catalog.delete_series(spark, path, BAR_FILES, ["error", "view"], f"{path}-2")
-    return catalog.read_files(spark, [f"{path}-2"], BAR_FILES)
+    files = catalog.delete_series(catalog.series_files(spark, path, BAR_FILES), ["error", "view"])
+    return catalog.read_series(spark, path, files, BAR_FILES)
+
+
+@query(f"WITH {bars_sql()} SELECT * FROM bars")
+def arrow_ipc(t):
+    """Bars as Arrow IPC streams and back."""
+    rows = hour_bars(t)
+    return catalog.from_ipc(catalog.to_ipc(rows), rows.schema)
 
 
 @query(f"WITH {FIXED_SQL} SELECT symbol, s, exit_time, reason, round(exit_price, 6) AS exit_price FROM trades")
@@ -109,3 +146,12 @@ def run_artifacts(t):
     path = _folder(rows.sparkSession)
     rows.write.parquet(path)
     return catalog.read_files(rows.sparkSession, [path], rows.schema)
+
+
+@query(f"WITH RECURSIVE {FIXED_SQL}, {TAKEN_SQL}, {PNL_SQL}, {CURVE_SQL} SELECT symbol, exit_time AS time, round(equity, 6) AS equity FROM curve")
+def run_equity(t):
+    """A run's equity points as stored and read again."""
+    rows = simulation.equity_curve(taken(t), "symbol", ["s"], 1000.0).select("symbol", F.col("exit_time").alias("time"), F.round("equity", 6).alias("equity"))
+    path = _folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return catalog.read_files(rows.sparkSession, [path], rows.schema)

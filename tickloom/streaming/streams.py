@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions.expressions import order_key
+from tickloom.operators.bars import last_n
 from tickloom.schemas import ENVELOPE, EVENTS
 from tickloom.session import shared_dir
+from tickloom.sources.catalog import stored
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: Off while a stream starts: what follows sorts ticks inside a micro-batch, which the check cannot tell from sorting a stream.
@@ -138,7 +140,7 @@ def sequence_signals(rows: DataFrame, last: DataFrame) -> tuple[DataFrame, DataF
     # an epoch that goes on may still be below the state's number
     going_on = F.col("last_epoch") == F.first("epoch").over(w)
     held = F.when(going_on & F.col("epoch").eqNullSafe(F.col("last_epoch")), F.col("last_seq"))
-    chunks = written_batch(chunks.select("producer", "epoch", "chunk", "high", "from_epoch", F.greatest("from_seq", held).alias("from_seq"), held.alias("held")), "chunks")
+    chunks = stored(chunks.select("producer", "epoch", "chunk", "high", "from_epoch", F.greatest("from_seq", held).alias("from_seq"), held.alias("held")), "chunks")
     side = chunks.select(*(F.col(c).alias(f"c_{c}") for c in ("producer", "epoch", "chunk")), "from_epoch", "from_seq", "held")
     same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in ("producer", "epoch", "chunk")]
     own = Window.partitionBy("producer", "epoch", "chunk").orderBy("seq")
@@ -153,13 +155,6 @@ def sequence_signals(rows: DataFrame, last: DataFrame) -> tuple[DataFrame, DataF
     return signals, old.unionAll(now.select("producer", "now.epoch", "now.seq"))
 
 
-def written_batch(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/tickloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run_signals(stream: DataFrame, top: str) -> DataFrame:
     """Runs sequence_signals over all that is there of stream (producer, epoch, seq) and reads all signals in top so far.
 
@@ -177,6 +172,48 @@ def run_signals(stream: DataFrame, top: str) -> DataFrame:
     return spark.read.schema(f"{SIGNAL}, batch int").parquet(f"{top}/out")
 
 
+def run_window(bars: DataFrame, n: int, top: str) -> DataFrame:
+    """Runs a stream of bars over all that is there and reads each symbol's last n: what a bounded buffer holds.
+
+    A micro-batch adds its bars to the window that the one before it wrote, and only n rows of a symbol go on from any
+    task, so no state grows with the stream. A batch that is done again gives the same."""
+    spark = bars.sparkSession
+    schema = bars.schema
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        held = session.read.schema(schema).parquet(f"{top}/window/batch={number - 1}") if number else session.createDataFrame([], schema)
+        kept = last_n(held.unionByName(batch), n, ["symbol"], [F.desc("time")]).drop("recency")
+        kept.write.mode("overwrite").parquet(f"{top}/window/batch={number}")
+
+    query = bars.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    progress = query.lastProgress
+    if progress is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{top}/window/batch={progress['batchId']}")
+
+
+def cursor_signals(sent: DataFrame, cursors: DataFrame, retained: int, lag: int) -> DataFrame:
+    """What a subscriber is told who comes back at a cursor: (consumer, topic, signal, previous_epoch, new_epoch, cursor,
+    from_seq). sent: topic, epoch, seq; cursors: consumer, topic, epoch, seq, the last message taken.
+
+    epoch_changed: the topic's newest message is of another epoch. cursor_expired: of the topic's `retained` newest
+    messages those of its epoch start after the one that follows the cursor. lagging: more than `lag` numbers behind
+    the head; from_seq is where to go on. Others, and cursors of topics without messages, get none. A null topic is a
+    topic; null epochs and numbers are no messages, and no cursors."""
+    newest = last_n(sent.dropna(subset=["epoch", "seq"]), retained, ["topic"], [F.desc("epoch"), F.desc("seq")])
+    head = F.max(F.struct("epoch", "seq"))
+    held = newest.withColumn("of", F.max("epoch").over(Window.partitionBy("topic"))).groupBy(F.col("topic").alias("t")).agg(head.alias("head"), F.min(F.when(F.col("epoch") == F.col("of"), F.col("seq"))).alias("oldest"))
+    at = cursors.dropna(subset=["epoch", "seq"]).join(held, F.col("topic").eqNullSafe(F.col("t")))
+    kind = F.when(F.col("epoch") != F.col("head.epoch"), "epoch_changed").when(F.col("seq") + 1 < F.col("oldest"), "cursor_expired").when(F.col("head.seq") - F.col("seq") > lag, "lagging")
+    told = lambda name, value: F.when(F.col("signal") == name, value)
+    return at.withColumn("signal", kind).where("signal IS NOT NULL").select(
+        "consumer", "topic", "signal", told("epoch_changed", F.col("epoch")).alias("previous_epoch"), told("epoch_changed", F.col("head.epoch")).alias("new_epoch"),
+        told("cursor_expired", F.col("seq").cast("string")).alias("cursor"), told("lagging", F.col("seq") + 1).alias("from_seq"),
+    )
+
+
 def decode_envelopes(raw: DataFrame, column: str = "value") -> DataFrame:
     """JSON envelopes to columns; unknown fields are ignored, text that is no envelope gives nulls."""
     return raw.select(F.from_json(F.col(column), ENVELOPE).alias("e")).select("e.*")
