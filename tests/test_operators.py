@@ -321,6 +321,27 @@ def test_pareto_blocks_judge_each_other(spark, monkeypatch):
     assert J.pareto_front(pts.limit(0), "k", ["x", "y", "z"], []).count() == 0
 
 
+@pytest.mark.parametrize("size", [30, 64, 100_000])
+def test_indicators_by_chunks_equal_those_of_whole_series(spark, size):
+    bars = make_bars(spark, [100 + (i * 37 % 11) - 5 + i * 0.01 for i in range(200)]).unionAll(make_bars(spark, [5.0, 6.0], None)).withColumn("id", F.lit(1))
+    whole = SIM.numbered(I.crossover(bars))
+    chunked = I.by_chunks(I.numbered_by_day(bars, "id"), I.crossover, before=24, size=size)
+    columns = ["symbol", "time", "i", "close", "signal"]
+    assert chunked.select(columns).exceptAll(whole.select(*columns)).count() == 0 and chunked.count() == 202
+
+
+def test_ticks_of_one_time_are_numbered_by_id(spark):
+    rows = [("a", at(0), 3), ("a", at(0), 1), ("a", at(24 * 60), 2), ("a", at(24 * 60), 0), ("b", None, 1)]
+    got = I.numbered_by_day(spark.createDataFrame(rows, "symbol string, time timestamp_ntz, id int"), "id")
+    assert {(r.symbol, r.time, r.id): r.i for r in got.collect()} == {rows[1]: 1, rows[0]: 2, rows[3]: 3, rows[2]: 4, rows[4]: 1}
+
+
+def test_version_constants():
+    import tickloom
+
+    assert re.fullmatch(r"\d+\.\d+\.\d+", tickloom.__version__) and tickloom.SCHEMA_REV
+
+
 def test_cursor_signals(spark):
     sent = [("t", "e1", s) for s in range(1, 5)] + [("t", "e2", s) for s in range(10, 31)] + [(None, "e1", 3), ("t", None, 99), ("u", "e1", 1)]
     cursors = [("old", "t", "e1", 4), ("gone", "t", "e2", 18), ("slow", "t", "e2", 20), ("edge", "t", "e2", 25), ("here", "t", "e2", 30), ("n", None, "e1", 3), ("x", "v", "e1", 1), ("y", "t", None, 1)]

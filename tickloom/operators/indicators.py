@@ -7,6 +7,7 @@ bars. Times of a symbol must be distinct. Windows shuffle once by symbol and sha
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,3 +221,29 @@ def crossover(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     before = F.lag("__side").over(series())
     signal = F.when((F.col("__side") > 0) & (before <= 0), 1).when((F.col("__side") < 0) & (before >= 0), -1).otherwise(0)
     return bars.withColumns({"signal": signal, "entry_time": F.lead("time").over(series()), "entry_price": F.lead("open").over(series())}).drop("__side")
+
+
+#: Rows of a chunk of a series that is too long for one task.
+CHUNK_ROWS = 100_000
+
+
+def numbered_by_day(rows: DataFrame, tiebreak: str) -> DataFrame:
+    """rows with i, their number in their symbol from 1 by (time, tiebreak), without a sort of a whole symbol: a day's
+    rows are numbered, and the days before counted."""
+    day = F.to_date("time")
+    sizes = rows.groupBy("symbol", day.alias("__day")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("symbol").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("symbol").alias("__symbol"), "__day", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = rows.withColumns({"__of": day, "__place": F.row_number().over(Window.partitionBy("symbol", day).orderBy("time", tiebreak))})
+    same = F.col("symbol").eqNullSafe(F.col("__symbol")) & F.col("__of").eqNullSafe(F.col("__day"))
+    return own.join(sizes, same).withColumn("i", F.col("__place") + F.col("__before")).drop("__of", "__place", "__symbol", "__day", "__before")
+
+
+def by_chunks(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], before: int, after: int = 1, size: int = CHUNK_ROWS) -> DataFrame:
+    """transform (of series by symbol and time, which may look so many rows back and ahead) over chunks of numbered rows
+    (i), each with the rows it looks at: no task sorts more than a chunk. While transform runs, time is i."""
+    own, at = F.floor(F.col("i") / size), F.col("i") % size
+    chunks = F.array_compact(F.array(own, F.when(at < after, own - 1), F.when(at >= size - before, own + 1)))
+    dealt = rows.withColumns({"__own": own, "__time": F.col("time"), "__symbol": F.col("symbol")}).withColumn("__chunk", F.explode(chunks))
+    done = transform(dealt.withColumns({"symbol": F.struct("__symbol", "__chunk"), "time": F.col("i")}))
+    return done.where("__chunk = __own").withColumns({"symbol": F.col("__symbol"), "time": F.col("__time")}).drop("__own", "__chunk", "__time", "__symbol")

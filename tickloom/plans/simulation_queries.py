@@ -79,9 +79,10 @@ TICK_BARS = "tb AS (SELECT event_type AS symbol, ts AS time, value AS open, valu
 def tick_backtest(t):
     """The same kernel on ticks: each is a bar of its own."""
     p = F.col("price")
-    bars = ticks(t).where("price IS NOT NULL").select("symbol", F.col("ts").alias("time"), p.alias("open"), p.alias("high"), p.alias("low"), p.alias("close"), F.lit(1).alias("tick_volume"))
-    bars = S.numbered(I.crossover(bars))
-    trades = S.candidate_trades(bars, bars.where("signal = 1").select("symbol", "i"), EXITS)
+    bars = ticks(t).where("price IS NOT NULL").select("symbol", "id", F.col("ts").alias("time"), p.alias("open"), p.alias("high"), p.alias("low"), p.alias("close"), F.lit(1).alias("tick_volume"))
+    bars = I.numbered_by_day(bars, "id")
+    signals = I.by_chunks(bars, I.crossover, before=24).where("signal = 1").select("symbol", "i")
+    trades = S.candidate_trades(bars, signals, EXITS)
     return trades.select("symbol", "entry_time", "entry_price", "exit_time", *r("exit_price"), "reason")
 
 

@@ -107,6 +107,15 @@ def seq_gaps(t):
     return ST.sequence_gaps(rows.unionAll(rows.where("seq % 10 = 0")))  # as delivered more than once
 
 
+@stream_query("SELECT event_type AS topic, strftime(ts, '%Y-%m-%d') AS epoch, event_id AS seq, user_id::VARCHAR AS producer_id FROM events WHERE event_type IN ('purchase', 'signup')")
+def topic_stream(spark, sf_dir):
+    """Some topics of a message log, as a stream: the log is written first."""
+    path = _folder(spark)
+    envelopes(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")).write.text(path)
+    out = ST.topic_stream(spark, {"path": path}, ["purchase", "signup"])
+    return ST.run_available(out, "append", "topics").select("topic", "epoch", "seq", "producer_id")
+
+
 def _folder(spark) -> str:
     return f"{shared_dir(spark)}/tickloom-series-{uuid.uuid4().hex}"
 

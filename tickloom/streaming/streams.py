@@ -219,6 +219,13 @@ def decode_envelopes(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.from_json(F.col(column), ENVELOPE).alias("e")).select("e.*")
 
 
+def topic_stream(spark: SparkSession, options: dict[str, str], topics: list[str], source: str = "text") -> DataFrame:
+    """The decoded envelopes of some topics from a message source whose value column holds their JSON: by default a
+    folder of logs with a message on each line; with source="kafka" (its connector must be there) a broker."""
+    raw = spark.readStream.format(source).options(**options).load()
+    return subscribed(decode_envelopes(raw.select(F.col("value").cast("string").alias("value"))), topics)
+
+
 def subscribed(envelopes: DataFrame, topics: list[str]) -> DataFrame:
     return envelopes.where(F.col("topic").isin(topics))
 
