@@ -53,14 +53,75 @@ def test_pipeline_stage_by_stage(spark, duck):
     assert run.columns == out.columns and run.exceptAll(out).count() == 0
 
 
-def test_near_duplicate_stage_keeps_one_of_each_group(spark):
-    from tickloom.llm.jaccard_join import jaccard_components
+def test_pipeline_against_brute_force(spark):
+    """What each stage keeps, from plain definitions over its own input."""
+    import public_tokenizers
+    import tiktoken
+    from test_llm_operators import CODEC, brute_components, brute_leak, shingles, words_of
+
+    from tickloom.llm import quality
+    from tickloom.llm.shared import written
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    docs = docs.unionAll(docs.limit(3))  # rows that repeat an id
-    kept = sorted(r.doc_id for r in corpus_pipeline.no_near_duplicates(spark, docs, SF).collect())
-    groups = jaccard_components(docs).collect()
-    assert kept == sorted({r.component_id for r in groups})
+    net = quality.learn_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    bench = [words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        out = written(stage(spark, docs, SF), name)
+        if name == "quality":
+            want = {k: t for k, t in before.items() if net.probability(net.combined(quality.chunk_peaks(net, np.frombuffer((t or "").encode(), np.uint8)))) >= 0.5}
+        elif name == "line_dedup":
+            key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)}))
+            holders: dict = collections.defaultdict(set)
+            for k, t in before.items():
+                for x in (t or "").split("\n"):
+                    holders[key(x)].add(k)
+            gone = lambda k, x: len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and max(holders[key(x)]) != k
+            want = {k: "\n".join(x for x in (t or "").split("\n") if not gone(k, x)) for k, t in before.items()}
+        elif name == "near_duplicates":
+            sets = {k: shingles(t, 5) for k, t in before.items()}
+            root = brute_components(sets, lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b))
+            want = {k: t for k, t in before.items() if root[k] == k}
+            assert len(want) < len(before)
+        elif name == "decontamination":
+            rare = [{x[i : i + 3] for i in range(len(x) - 2)} for x in (tuple(b) for b in bench)]  # of 13 words, 11 equal: three stand in a row
+
+            def leaks(t: str) -> bool:
+                w = words_of(t)
+                own = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+                return any(own & r and brute_leak(w, b) for b, r in zip(bench, rare, strict=True))
+
+            want = {k: t for k, t in before.items() if not leaks(t)}
+            assert len(want) < len(before)
+        else:
+            enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODEC.ranks, special_tokens={})
+            got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in out.collect()}
+            assert got == {k: enc.encode_ordinary(t or "") for k, t in before.items()}
+            break
+        assert {r.doc_id: r.text for r in out.collect()} == want, name
+        docs = out
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, and null ids, null texts and repeats in every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels, bench = "doc_id long, quality int, toxic int", "item_id long, text string"
+    long = " ".join(f"calm{i} words stand here in order" for i in range(30))
+    rows = [(None, None, None, None, None), (None, long, "a", None, 1), (1, long + " x", "a", "s", 1), (1, long + " x", "a", "s", 1), (2, "", None, "s", 0), (3, "word " * 20_000, "b", "s", 1), (4, "$$$ ### " * 50, "b", "s", 1), (5, None, "b", "s", None), (6, "leak of the one item that is here and has some thirteen words or so", "a", "s", 1)]
+    for name, own in (("empty", []), ("odd", rows)):
+        top = str(tmp_path / name)
+        spark.createDataFrame(own, schema).write.parquet(f"{top}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 0, 0), (None, 1, 0), (6, None, 0)] if own else [], labels).write.parquet(f"{top}/labels.parquet")
+        spark.createDataFrame([(1, rows[8][1]), (2, None), (None, "x")] if own else [], bench).write.parquet(f"{top}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, top)
+        assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and out.where("not round_trip").count() == 0
+        assert out.count() <= len(own)
+        docs = spark.read.parquet(f"{top}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            docs = stage(spark, docs, top)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept = [(r.doc_id, r.text) for r in docs.collect()]
+        assert (6, rows[8][1]) not in kept and (not own or {(2, ""), (5, "")} <= set(kept)), kept
 
 
 def test_near_duplicate_stage_keeps_every_text_of_an_id(spark):

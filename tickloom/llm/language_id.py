@@ -36,6 +36,8 @@ SLOTS = 1 << 18
 FULL_SIZE_LANGUAGES = 200
 #: The learning sample: texts of each language, texts in all, and characters of each (of longer texts a stretch).
 SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS, SAMPLE_CHARS = 250, 50_000, 10_000
+#: Languages whose counts are sent to every task; more are joined.
+MOST_BROADCAST = 100_000
 EPOCHS, BATCH, RATE = 2, 64, 0.3
 _LETTER = regex.compile(r"\p{L}")
 
@@ -209,18 +211,24 @@ def learn_languages(
     and of a text longer than chars from a stretch of so many characters.
 
     If languages are so many that this makes over most_texts rows, each gives fewer. Rows without id, language or text
-    teach nothing. The rows are drawn in one pass over ids and languages, their texts read in another."""
+    teach nothing. Rows are counted and drawn over ids and languages alone; one pass reads the drawn ones' texts."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold("id") != 1))
-    ranked = rows.select("id", "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    # at most per_language rows of a language leave each partition; the first of all languages go before the second
+    drawn = rows.select("id", "lang")
+    counts = drawn.groupBy("lang").agg(F.count("*").alias("rows"))
+    small = F.broadcast if counts.count() <= MOST_BROADCAST else lambda df: df
+    # by its rows' number a language lets about twice per_language of them through, so no task ranks all of one
+    place = F.pmod(F.xxhash64("id"), F.lit(2**32)) * F.col("rows")
+    drawn = drawn.join(small(counts), "lang").where(place < 2 * per_language * 2**32)
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    # the first of all languages go before the second
     picked = ranked.where(F.col("rank") <= per_language).orderBy("rank", F.xxhash64("id"), "id", "lang").limit(most_texts).select("id", "lang").collect()
     if not picked:
         return learn([], [])
     ids = spark.createDataFrame(sorted({tuple(r) for r in picked}), "id long, lang string")
-    drawn = rows.join(F.broadcast(ids), ["id", "lang"]).select("id", "lang", sample_window(F.col("text"), F.col("id"), chars).alias("text"))
-    sample = sorted(map(tuple, drawn.groupBy("id", "lang").agg(F.max("text").alias("text")).dropna().collect()))
+    texts = rows.join(F.broadcast(ids), ["id", "lang"]).select("id", "lang", sample_window(F.col("text"), F.col("id"), chars).alias("text"))
+    sample = sorted(map(tuple, texts.groupBy("id", "lang").agg(F.max("text").alias("text")).dropna().collect()))
     return learn([t.encode() for _, _, t in sample], [name for _, name, _ in sample])
 
 

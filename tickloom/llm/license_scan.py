@@ -59,7 +59,7 @@ def key_place(template: Template) -> int:
 
 def rarity(n_files: int, n_with: int) -> float:
     """IDF of a word: more than zero even if every file has it."""
-    return math.log(1 + n_files / (1 + n_with))
+    return math.log(1 + max(1, n_files) / (1 + n_with))
 
 
 def _tables(files: DataFrame, templates: list[Template]) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
@@ -127,7 +127,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple[Temp
     joined = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
     found = good.groupBy("t1", "t2").agg(
         F.count(place).alias("n_base"), F.min(place).cast("long").alias("first_word"), F.max(place).cast("long").alias("last_word"),
-        joined(F.col("base")).alias("base_labels"), joined(labelled).alias("labels"), F.least(F.max(F.when(~F.col("base"), F.col("share"))), F.lit(1.0)).alias("score"),
+        joined(F.col("base")).alias("base_labels"), joined(labelled).alias("labels"), F.least(F.coalesce(F.max(F.when(~F.col("base"), F.col("share"))), F.lit(0.0)), F.lit(1.0)).alias("score"),
     )
     none = {"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}
     out = files.drop("places").join(written(found, "licences"), ["t1", "t2"], "left")
