@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm import byte_bpe, language_id, license_scan, perfect_hash, quality
+from tickloom.llm import byte_bpe, jaccard_join, language_id, license_scan, perfect_hash, quality
 from tickloom.llm.components import connected_components
 from tickloom.llm.decontaminate import MASKS, SHORT_MASKS, best_leak, diagonals, find_leaks, longest_stretch
 from tickloom.llm.embedding_dedup import embedding_components, plan_tables
@@ -255,8 +255,11 @@ def shingles(t: str | None, n: int) -> frozenset:
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 60)])
-def test_jaccard_components(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "few_pairs"), [(4, 85, 20_000_000), (2, 60, 20_000_000), (2, 60, 0)])
+def test_jaccard_components(spark, monkeypatch, n, percent, few_pairs):
+    """few_pairs 0: members are drawn until the turns are over, and blocks compare the rest."""
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", few_pairs)
+    monkeypatch.setattr(jaccard_join, "MOST_TURNS", 2)
     rng = random.Random(n)
     base = [[f"v{rng.randint(0, 60)}" for _ in range(rng.randint(4, 40))] for _ in range(25)]
     rows = texts()[1:] if n == 4 else []

@@ -27,9 +27,9 @@ which counts the partial overlap there; the partial overlaps are summed by pair,
 decides. No task holds more than a fragment of two sets at once.
 
 Groups that the links have not made one component then meet another member, drawn by hash for
-each fragment. What is still apart after that is compared across components, block by block on
-sketches, and only pairs that these let link become rows; so no link that joins two components
-is missed.
+each group, and another, for as long as what is apart would be many pairs. The rest is compared
+across components, block by block on sketches, and only pairs that these let link become rows;
+so no link that joins two components is missed.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ HOT_TEXTS = 1000
 MOST_HOT = 200_000
 SKETCH_BITS = 1 << 20
 BLOCK = 256
+#: Pairs of sketches that are compared without drawing members before, and how often these are drawn at most.
+FEW_PAIRS, MOST_TURNS = 20_000_000, 5
 #: Vertical fragments in which overlaps are counted.
 FRAGMENTS = 16
 
@@ -314,20 +316,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the least id of a group is a representative; other copies of its members end here
     shared = written(keys.join(groups, "key").join(reps.select("doc"), "doc"), "fragments")
     links = _verified(shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), reps, source, n, percent, "1")
-    for step in ("2", "3"):
+    for turn in range(2, MOST_TURNS + 2):
         comp = connected_components(links)
         member = shared.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        drawn = F.min(F.struct(F.xxhash64("key", "doc"), "doc", "component")).alias("drawn")
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "doc"), "doc", "component")).alias("drawn")
         apart = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), drawn).where("c1 <> c2")
-        if step == "2":
+        apart = written(apart.select("key", "size", "drawn"), f"apart-{turn}")
+        work = apart.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0]
+        if work is None:
+            break
+        last = work <= FEW_PAIRS or turn > MOST_TURNS
+        if last:
+            pairs = _apart(member.join(apart.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(reps, "doc"), percent)
+        else:
             member = member.join(apart.select("key", F.col("drawn.doc").alias("other"), F.col("drawn.component").alias("other_component")), "key")
             pairs = member.where("component <> other_component").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"))
-        else:
-            pairs = _apart(member.join(apart.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(reps, "doc"), percent)
-        pairs = written(pairs.distinct(), f"pairs-{step}")
-        if pairs.isEmpty():
+        pairs = written(pairs.distinct(), f"pairs-{turn}")
+        before, more = links, _verified(pairs, reps, source, n, percent, str(turn))
+        links = written(before.union(more), "links")
+        for table in (before, more, pairs, apart):
+            removed(table)
+        if last:
             break
-        links = written(links.union(_verified(pairs, reps, source, n, percent, step)), "links")
     comp = connected_components(links).withColumnRenamed("node", "rep")
     of_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     return sets.join(of_class, ["s1", "s2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))).select(_id("doc").alias(id_col), "n_shingles", _id("component").alias("component_id"))

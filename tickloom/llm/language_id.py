@@ -219,7 +219,7 @@ def learn_languages(
     counts = drawn.groupBy("lang").agg(F.count("*").alias("rows"))
     small = F.broadcast if counts.count() <= MOST_BROADCAST else lambda df: df
     # by its rows' number a language lets about twice per_language of them through, so no task ranks all of one
-    place = F.pmod(F.xxhash64("id"), F.lit(2**32)) * F.col("rows")
+    place = F.pmod(F.xxhash64("id"), F.lit(2**32)).cast("double") * F.col("rows")
     drawn = drawn.join(small(counts), "lang").where(place < 2 * per_language * 2**32)
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
     # the first of all languages go before the second
