@@ -19,6 +19,7 @@ Decoding concatenates the tokens' bytes up the same tree. Null and empty texts h
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ from .shared import put, schema_with, slices
 #: Leaves of the trees. What a piece was reduced to is kept for the next time that it comes.
 LEAF_CHARS = 512
 LEAF_BYTES = 4
-CACHED_PIECES, CACHED_WINDOWS, CACHED_CHARS = 250_000, 150_000, 32
-CACHED_PAIRS = 50_000
+CACHED_PIECES, CACHED_WINDOWS, CACHED_CHARS = 400_000, 150_000, 32
+#: How far before its middle a text is cut if there is a space.
+NEAR = 64
+CACHED_PAIRS = 150_000
 #: Characters from its start that decide on a piece besides its own: the longest contraction.
 LOOK = 3
 
@@ -60,13 +63,17 @@ class _Cache(dict):
         return value
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes_of = {i: token for token, i in ranks.items()}
-        self.packed = _Cache(lambda piece: np.array(self.piece(piece.encode()), dtype="<u4").tobytes(), CACHED_PIECES, CACHED_CHARS)
-        self._stands = _Cache(lambda pair: self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair], CACHED_PAIRS, 2)
+        self.packed = _Cache(lambda piece: _pack(self.piece(piece.encode())), CACHED_PIECES, CACHED_CHARS)
+        self._pairs = _Cache(lambda pair: self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]), CACHED_PAIRS, 2)
         self._windows = _Cache(self.merged, CACHED_WINDOWS, CACHED_CHARS)
         #: How often elements were joined: of token ids, and of pieces.
         self.joins = [0, 0]
@@ -98,15 +105,22 @@ class Codec:
         if not a or not b:
             return a or b
         self.joins[0] += 1
+        window = self._pairs[a[-1], b[0]]
+        if len(window) == 2 and window[0] == a[-1]:  # it stands, and so do the pairs within either part
+            return a + b
         left = right = 1
         while True:
-            window = self._windows[b"".join(map(self.bytes_of.__getitem__, (*a[-left:], *b[:right])))]
-            grow_left = left < len(a) and not self._stands[a[-left - 1], window[0]]
-            grow_right = right < len(b) and not self._stands[window[-1], b[right]]
+            grow_left = left < len(a) and not self._stands(a[-left - 1], window[0])
+            grow_right = right < len(b) and not self._stands(window[-1], b[right])
             if not grow_left and not grow_right:
                 return a[:-left] + window + b[right:]
             left = min(len(a), left * 2) if grow_left else left
             right = min(len(b), right * 2) if grow_right else right
+            window = self._windows[b"".join(map(self.bytes_of.__getitem__, (*a[-left:], *b[:right])))]
+
+    def _stands(self, i: int, j: int) -> bool:
+        own = self._pairs[i, j]
+        return len(own) == 2 and own[0] == i
 
     def piece(self, data: bytes) -> list[int]:
         return [self.ranks[data]] if data in self.ranks else self.halves(data)
@@ -119,6 +133,8 @@ class Codec:
             found = self.split(text)
             return found, list(map(self.packed.__getitem__, found))
         middle = len(text) // 2
+        space = text.rfind(" ", middle - NEAR, middle)  # before a space the halves seldom cut a piece in two
+        middle = space if space > 0 else middle
         return self.joined_texts(text[:middle], self.pieces(text[:middle]), text[middle:], self.pieces(text[middle:]))
 
     def joined_texts(self, ta: str, a: tuple[list[str], list[bytes]], tb: str, b: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
@@ -142,7 +158,7 @@ class Codec:
         for p in new_p:
             if open_ and skipped and len(p) > CACHED_CHARS and p == pa_[-1] + pb[0]:
                 ids = self.joined(np.frombuffer(ia[-1], "<u4").tolist(), np.frombuffer(ib[0], "<u4").tolist())
-                new_i.append(np.array(ids, dtype="<u4").tobytes())
+                new_i.append(_pack(ids))
             else:
                 new_i.append(self.packed[p])
         keep = len(pa_) - open_
@@ -175,7 +191,7 @@ class Codec:
         """Empties the caches: a worker that lives on after its task keeps only the vocabulary."""
         self.packed.clear()
         self._windows.clear()
-        self._stands.clear()
+        self._pairs.clear()
 
     # Whole texts.
 
