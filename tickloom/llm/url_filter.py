@@ -50,7 +50,7 @@ def ending_rule(ending: str) -> Rule:
 
 #: Words in the host or path of sites that training data should not have.
 BLOCK_WORDS = (
-    "adult", "bets", "betting", "casino", "casinos", "escort", "escorts", "gambling", "hentai", "jackpot", "nude", "nudes", "phentermine", "pills",
+    "adult", "bets", "betting", "casino", "escort", "escorts", "gambling", "hentai", "jackpot", "nude", "nudes", "phentermine", "pills",
     "poker", "porn", "porno", "roulette", "sexcam", "slots", "spam", "sportsbook", "viagra", "warez", "webcams", "xxx",
 )
 #: Endings of files that hold no text.
