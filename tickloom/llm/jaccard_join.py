@@ -22,9 +22,9 @@ pair is dropped if its sizes, those of its vertical fragments, or the bits in wh
 sketches differ (each stands for a shingle of only one set), exceed what the threshold allows.
 
 The sets of the pairs that are left are cut vertically into FRAGMENTS ranges of the global
-order: rows (document, fragment, shingles). A pair meets one fragment of either set in a row,
-which counts the partial overlap there; the partial overlaps are summed by pair, and the sum
-decides. No task holds more than a fragment of two sets at once.
+order. A pair meets both sets' fragments, partial overlaps are counted fragment by fragment, and
+their sum decides. They stay within the pair's row: a row for each pair and fragment would make
+sixteen times as many, most where groups of copies are largest.
 
 Groups that the links have not made one component then meet another member, drawn by hash for
 each group, and another, for as long as what is apart would be many pairs. The rest is compared
@@ -51,8 +51,8 @@ HOT_TEXTS = 1000
 MOST_HOT = 200_000
 SKETCH_BITS = 1 << 20
 BLOCK = 256
-#: Pairs of sketches that are compared without drawing members before, and how often these are drawn at most.
-FEW_PAIRS, MOST_TURNS = 20_000_000, 5
+#: Pairs of sketches that are compared without drawing members again, and how many turns come before that at most.
+FEW_PAIRS, MOST_TURNS = 20_000_000, 3
 #: Vertical fragments in which overlaps are counted.
 FRAGMENTS = 16
 
@@ -233,15 +233,16 @@ def _near(percent: int):
 
 
 def _cut_vertically(n: int):
-    """(doc, fragment, shingles): a row for each fragment of a set that is not empty."""
+    """(doc, fragments): the sorted shingles of each of a set's FRAGMENTS fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             h, first = _sets_of(batch.column("text"), n)
             at = np.repeat(np.arange(batch.num_rows), np.diff(first)) * FRAGMENTS + _fragment_of(h, FRAGMENTS)
-            own, starts = np.unique(at, return_index=True)  # sorted: by row, then in the global order
-            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(own // FRAGMENTS)), pa.array((own % FRAGMENTS).astype(np.int32)), lists], names=["doc", "fragment", "shingles"])
+            ends = np.searchsorted(at, np.arange(batch.num_rows * FRAGMENTS + 1))
+            inner = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
+            outer = pa.ListArray.from_arrays(pa.array((np.arange(batch.num_rows + 1) * FRAGMENTS).astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), outer], names=["doc", "fragments"])
 
     return run
 
@@ -253,11 +254,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int, perc
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = written(sized.mapInArrow(_near(percent), "a long, b long, n_a long, n_b long"), f"near-{step}")
     needed = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    cut_up = source.join(needed.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_cut_vertically(n), "doc long, fragment int, shingles array<long>")
-    cut_up = written(cut_up, f"vertical-{step}")
-    left, right = (cut_up.select(F.col("doc").alias(x), "fragment", F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-    partial = near.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long").alias("both"))
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
+    cut_up = written(source.join(needed.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_cut_vertically(n), "doc long, fragments array<array<long>>"), f"vertical-{step}")
+    left, right = (cut_up.select(F.col("doc").alias(x), F.col("fragments").alias(f"fragments_{x}")) for x in "ab")
+    partial = F.zip_with("fragments_a", "fragments_b", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+    total = near.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.aggregate(partial, F.lit(0).cast("long"), lambda s, v: s + v).alias("both"))
     links = written(total.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), f"links-{step}")
     removed(near)
     removed(cut_up)
@@ -320,12 +320,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comp = connected_components(links)
         member = shared.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "doc"), "doc", "component")).alias("drawn")
-        apart = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), drawn).where("c1 <> c2")
-        apart = written(apart.select("key", "size", "drawn"), f"apart-{turn}")
-        work = apart.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0]
+        parts = member.groupBy("key", "component").agg(F.count("*").alias("n"), drawn)
+        apart = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("most"), F.min("drawn").alias("drawn")).where("parts > 1")
+        apart = written(apart.drop("parts"), f"apart-{turn}")
+        # pairs of which at least one is outside the group's largest component
+        work = apart.agg(F.sum((F.col("size") - F.col("most")).cast("double") * F.col("size"))).first()[0]
         if work is None:
             break
-        last = work <= FEW_PAIRS or turn > MOST_TURNS
+        last = turn > 2 and work <= FEW_PAIRS or turn > MOST_TURNS
         if last:
             pairs = _apart(member.join(apart.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(reps, "doc"), percent)
         else:
