@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+from fractions import Fraction
 from pathlib import Path
 
 import pytest
@@ -321,6 +322,24 @@ def test_pareto_blocks_judge_each_other(spark, monkeypatch):
     assert J.pareto_front(pts.limit(0), "k", ["x", "y", "z"], []).count() == 0
 
 
+def test_averages_that_are_equal_do_not_cross(spark):
+    """Prices in tenths, whose averages are often equal though the last bits of their sums differ."""
+    tenths = [217 + i * i * i * 20 % 997 % 3 for i in range(600)]
+    mean = lambda i, n: Fraction(sum(tenths[i - n + 1 : i + 1]), n)
+    sides = [None if i < 19 else (mean(i, 5) > mean(i, 20)) - (mean(i, 5) < mean(i, 20)) for i in range(600)]
+    pairs = [(None, None), *zip(sides, sides[1:])]
+    want = [0 if a is None else 1 if b > 0 >= a else -1 if b < 0 <= a else 0 for a, b in pairs]
+    got = [r.signal for r in I.crossover(make_bars(spark, [t / 10 for t in tenths])).orderBy("time").collect()]
+    assert sides.count(0) > 5 and got == want
+
+
+def test_averages_that_are_no_numbers_do_not_cross(spark):
+    """Of an infinite price only the slow average is left after five bars; while both are infinite they are equal."""
+    flat = [10.0] * 25
+    crossings = lambda x: [tuple(r) for r in I.crossover(make_bars(spark, [*flat, x, *flat])).where("signal <> 0").select("time", "signal").collect()]
+    assert crossings(float("nan")) == [] and crossings(float("inf")) == [(at(60 * 30), -1)]
+
+
 @pytest.mark.parametrize("size", [30, 64, 100_000])
 def test_indicators_by_chunks_equal_those_of_whole_series(spark, size):
     bars = make_bars(spark, [100 + (i * 37 % 11) - 5 + i * 0.01 for i in range(200)]).unionAll(make_bars(spark, [5.0, 6.0], None)).withColumn("id", F.lit(1))

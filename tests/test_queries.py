@@ -12,6 +12,24 @@ def test_query_equals_its_sql(spark, duck, name):
     assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(duck, ORACLE_SQL[name])
 
 
+def write_ticks_in_tenths(folder):
+    """A tick an hour, with prices whose averages are often equal."""
+    import duckdb
+
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_hours(i) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, (217 + i * i * i * 20 % 997 % 3) / 10 AS value, '{{}}' AS props
+        FROM range(600) t(i)) TO '{folder}/events.parquet'""")
+
+
+@pytest.mark.parametrize("name", ["crossover_entries"])
+def test_crossings_of_equal_averages_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    write_ticks_in_tenths(tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert spark_rows(QUERIES[name](spark, str(tmp_path))) == duck_rows(con, ORACLE_SQL[name])
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 

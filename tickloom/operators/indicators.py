@@ -213,10 +213,13 @@ def forward_target(bars: DataFrame, horizon: int) -> DataFrame:
     return bars.withColumn("target", ratio(F.lead("close", horizon).over(series()), F.col("close")) - 1)
 
 
-def crossover(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
-    """signal: 1 where the fast average crosses above the slow one, -1 below, else 0; entries take the next bar's open."""
+def crossover(bars: DataFrame, fast: int = 5, slow: int = 20, digits: int = 9) -> DataFrame:
+    """signal: 1 where the fast average crosses above the slow one, -1 below, else 0; entries take the next bar's open.
+
+    Averages are compared at so many digits after the point: equal ones of different sums differ by the last bits, which
+    would be crossings. Where their difference is no number (NaN, infinite prices) they count as equal."""
     bars = bars.withColumns({"fast": sma(F.col("close"), fast), "slow": sma(F.col("close"), slow)})
-    side = F.signum(F.col("fast") - F.col("slow"))
+    side = F.nanvl(F.signum(F.round("fast", digits) - F.round("slow", digits)), F.lit(0.0))
     bars = bars.withColumn("__side", side)
     before = F.lag("__side").over(series())
     signal = F.when((F.col("__side") > 0) & (before <= 0), 1).when((F.col("__side") < 0) & (before >= 0), -1).otherwise(0)
