@@ -20,7 +20,7 @@ def write_ticks_in_tenths(folder):
         FROM range(600) t(i)) TO '{folder}/events.parquet'""")
 
 
-@pytest.mark.parametrize("name", ["crossover_entries"])
+@pytest.mark.parametrize("name", ["crossover_entries", "fills"])
 def test_crossings_of_equal_averages_equal_their_sql(spark, tmp_path, name):
     import duckdb
 
