@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions.expressions import round_scaled
 from tickloom.operators import bars as B
 from tickloom.operators import features as X
 from tickloom.operators import indicators as I
@@ -490,3 +491,15 @@ def test_library_does_not_import_llm():
     for f in top.rglob("*.py"):
         if "llm" not in f.relative_to(top).parts:
             assert "llm" not in f.read_text(), f
+
+
+def test_round_scaled_equals_duckdb(spark):
+    import duckdb
+
+    halves = [(k + 0.5) / 1e6 * s for k in range(0, 40_000, 7) for s in (1, -1)]
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 1e300, -1e305, 2.0**53 + 2, 4503599627.370497, -4.9e-7, 0.49999999999999994e-6, 5e-7, 1.0005 * 0.285, *halves]
+    ours = spark.createDataFrame([(v,) for v in values], "x double").select("x", round_scaled(F.col("x"), 6).alias("y")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::DOUBLE[]) AS x", [values])
+    theirs = con.execute("SELECT x, round(x, 6) FROM t").fetchall()
+    assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, theirs))

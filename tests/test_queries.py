@@ -30,6 +30,19 @@ def test_crossings_of_equal_averages_equal_their_sql(spark, tmp_path, name):
     assert spark_rows(QUERIES[name](spark, str(tmp_path))) == duck_rows(con, ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("value", ["i * i * i * 20 % 2999 / 1000", "(i * i * i * 20 % 2999 - 1500) / 100000000", "(100000000 + i * i * i * 65 % 997 % 5) / 100000000"])
+def test_fills_at_halves_equal_their_sql(spark, tmp_path, value):
+    """A tick an hour. Fill prices of the first two lie at halves of the sixth digit, or round to minus zero; averages of the third at
+    halves of the ninth."""
+    import duckdb
+
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_hours(i) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, {value} AS value, '{{}}' AS props
+        FROM range(300) t(i)) TO '{tmp_path}/events.parquet'""")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert spark_rows(QUERIES["fills"](spark, str(tmp_path))) == duck_rows(con, ORACLE_SQL["fills"])
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 

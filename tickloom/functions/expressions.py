@@ -44,6 +44,17 @@ def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.when(x.isNotNull(), F.greatest(as_col(low), F.least(as_col(high), x)))
 
 
+def round_scaled(x: Column, digits: int) -> Column:
+    """The double x at so many digits, halves away from zero: scaled, rounded and scaled back in doubles, as DuckDB does; x
+    itself where scaling gives no number. Spark's round takes the shortest decimal of x instead, and so the other neighbour
+    where the last bits of x or of what it is scaled to make a half."""
+    scale = F.lit(10.0**digits)
+    size = F.abs(x * scale)
+    part = size % 1
+    whole = size - part + (part >= 0.5).cast("double")
+    return F.when(size < float("inf"), F.signum(x) * whole / scale).otherwise(x)
+
+
 def to_step(x: Column, step: Column | float) -> Column:
     """x rounded down to a multiple of step."""
     s = step if isinstance(step, Column) else F.lit(step)

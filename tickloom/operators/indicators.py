@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.expressions import corr_guarded, ratio
+from tickloom.functions.expressions import corr_guarded, ratio, round_scaled
 
 
 def series():
@@ -219,7 +219,7 @@ def crossover(bars: DataFrame, fast: int = 5, slow: int = 20, digits: int = 9) -
     Averages are compared at so many digits after the point: equal ones of different sums differ by the last bits, which
     would be crossings. Where their difference is no number (NaN, infinite prices) they count as equal."""
     bars = bars.withColumns({"fast": sma(F.col("close"), fast), "slow": sma(F.col("close"), slow)})
-    side = F.nanvl(F.signum(F.round("fast", digits) - F.round("slow", digits)), F.lit(0.0))
+    side = F.nanvl(F.signum(round_scaled(F.col("fast"), digits) - round_scaled(F.col("slow"), digits)), F.lit(0.0))
     bars = bars.withColumn("__side", side)
     before = F.lag("__side").over(series())
     signal = F.when((F.col("__side") > 0) & (before <= 0), 1).when((F.col("__side") < 0) & (before >= 0), -1).otherwise(0)

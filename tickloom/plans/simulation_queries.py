@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.expressions import round_scaled
 from tickloom.operators import features as X
 from tickloom.operators import indicators as I
 from tickloom.operators import simulation as S
@@ -89,7 +90,7 @@ def tick_backtest(t):
 @query(f"WITH {bars_sql()}, {CROSS} SELECT symbol, time, round(entry_price * (1 + signal * 5.0::DOUBLE / 10000), 6) AS fill_price FROM x WHERE signal <> 0 AND entry_price IS NOT NULL")
 def fills(t):
     s = I.crossover(hour_bars(t)).where("signal <> 0 AND entry_price IS NOT NULL")
-    return s.select("symbol", "time", F.round(S.fill_price(F.col("entry_price"), F.col("signal"), 5.0), 6).alias("fill_price"))
+    return s.select("symbol", "time", round_scaled(S.fill_price(F.col("entry_price"), F.col("signal"), 5.0), 6).alias("fill_price"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(abs(l_extendedprice) * 2.5::DOUBLE / 10000 + abs(l_quantity) * 0.35::DOUBLE, 8) AS cost FROM lineitem")
